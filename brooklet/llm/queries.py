@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media
+from . import bpe, media, token_files
 from .common import table
 
 
@@ -14,8 +14,16 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.op10(table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.op2(table(spark, sf_dir, "documents"))
+
+
+def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op4(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_media_columns,)}
+    return {f.__name__: f for f in (op2_token_files, op4_bpe_chunks, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
