@@ -8,6 +8,7 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 
 #: The default vocabulary; every operator takes another path as a parameter.
@@ -33,8 +34,8 @@ def loaded(path: str):
 
 
 @lru_cache(maxsize=4)
-def described(path: str) -> tuple[bool, bool]:
-    """Whether ids of a text are those of its words (cut at ASCII white space) one after another; whether decoding only joins tokens by a blank.
+def described(path: str) -> tuple[bool, bool, bool]:
+    """Whether ids of a text are those of its words (cut at ASCII white space) one after another; whether decoding only joins tokens by a blank; whether texts are put in lower case.
 
     The first holds if the pre-tokenizer keeps nothing but matches of a pattern that match no white space, no added
     token holds white space or reaches beyond itself, and normalising changes nothing across white space.
@@ -47,22 +48,55 @@ def described(path: str) -> tuple[bool, bool]:
     added = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec.get("added_tokens", []))
     norm = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
     local = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in norm.get("normalizers", [norm]))
-    return bool(drops and added and local and not spec.get("post_processor")), spec.get("decoder") is None
+    return bool(drops and added and local and not spec.get("post_processor")), spec.get("decoder") is None, any(n["type"] == "Lowercase" for n in norm.get("normalizers", [norm]))
 
 
 _memory: dict[str, dict[bytes, bytes]] = {}
+_COMBINING = (b"\xcc", b"\xcd")
+
+
+@lru_cache(maxsize=4)
+def _ends(path: str) -> np.ndarray:
+    """Whether the token of each id ends a pre-token."""
+    vocabulary = loaded(path).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[k for name, k in vocabulary.items() if name.endswith("</w>")]] = True
+    return out
+
+
+def _encoded_words(words: list[bytes], path: str) -> dict[bytes, bytes]:
+    """Words of letters, with or without a full stop or comma, are encoded as one text and told apart by the tokens that end pre-tokens; others one by one."""
+    tokenizer, texts = loaded(path), [w.decode() for w in words]
+    counts = [0 if "İ" in t else 1 if t.isalpha() else 2 if t[-1] in ".," and t[:-1].isalpha() else 0 for t in texts]
+    plain = [k for k, n in enumerate(counts) if n]
+    out, others = {}, [k for k, n in enumerate(counts) if not n]
+    if plain:
+        ids = np.array(tokenizer.encode_batch_fast([" ".join([texts[k] for k in plain])], add_special_tokens=False)[0].ids, np.uint32)
+        at, wanted = np.flatnonzero(_ends(path)[ids]) + 1, np.cumsum([counts[k] for k in plain])
+        if len(at) == wanted[-1] and at[-1] == len(ids):
+            ends, data = (at[wanted - 1] * 4).tolist(), ids.tobytes()
+            out = {words[k]: data[a:b] for k, a, b in zip(plain, [0, *ends], ends, strict=False)}
+        else:
+            others = range(len(words))
+    for k, e in zip(others, tokenizer.encode_batch_fast([texts[k] for k in others], add_special_tokens=False), strict=True):
+        out[words[k]] = array("I", e.ids).tobytes()
+    return out
+
+
+def _folded(text: bytes) -> bytes:
+    """ASCII letters in lower case, where that can't change what the tokenizer's own lower-casing gives."""
+    return text if b"<|" in text or any(x in text for x in _COMBINING) else text.lower()
 
 
 def encoded(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each UTF-8 text as little-endian unsigned 32-bit integers, as the library's encode gives them without special tokens added."""
     tokenizer = loaded(path)
-    if not described(path)[0]:
+    by_words, _, lower = described(path)
+    if not by_words:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
     memory = _memory.setdefault(path, {})
-    words = [t.split() for t in texts]
-    new = list({w for ws in words for w in ws if w not in memory})
-    ids = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-    extra = {w: array("I", e.ids).tobytes() for w, e in zip(new, ids, strict=True)}
+    words = [(_folded(t) if lower else t).split() for t in texts]
+    extra = _encoded_words(list({w for ws in words for w in ws if w not in memory}), path)
     if len(memory) + len(extra) <= MEMORY_WORDS:
         memory.update(extra)
         return [b"".join(map(memory.__getitem__, ws)) for ws in words]
