@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, ngram_join, token_files
+from . import bpe, media, ngram_join, substring, token_files
 from .common import table
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op4_bpe_chunks, op9_jaccard_join, op10_media_columns)}
+    return {f.__name__: f for f in (op2_token_files, op4_bpe_chunks, op8_substring_dedup, op9_jaccard_join, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
