@@ -14,19 +14,22 @@ is one chunk; extra columns are ignored; a special token written in a text is th
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import mixed, slices, texts_as_bytes
-from .tokens import default_path, described, loaded
+from .tokens import default_path, described, encoded, loaded
 
 #: One white space in CUT_ONE_IN ends a chunk.
 CUT_ONE_IN = 64
 #: Bytes of chunks that a Python worker remembers at most; then it starts afresh. Results do not depend on it.
-MEMORY_BYTES = 40_000_000
+MEMORY_BYTES = 20_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -46,8 +49,25 @@ def chunks(text: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip(ends, ends[1:], strict=False) if a < b]
 
 
+def first_word(chunk: bytes) -> bytes:
+    """The first word of a chunk with the white space before it."""
+    return chunk[: len(chunk) - len((chunk.split(None, 1) + [b"", b""])[1])].rstrip()
+
+
+def last_word(chunk: bytes) -> bytes:
+    return (chunk.rsplit(None, 1) or [b""])[-1]
+
+
+class Entry(NamedTuple):
+    """Ids of a chunk (little-endian, 32 bits each), the same in decimal, and the decoded text."""
+
+    ids: bytes
+    numbers: str
+    decoded: str
+
+
 class ChunkEncoder:
-    """Ids of texts; what it remembers are (ids, ids as text, decoded text) of chunks."""
+    """Encodes texts, remembering the entries of chunks."""
 
     def __init__(self, path: str) -> None:
         self.path, self.tokenizer = path, loaded(path)
@@ -55,61 +75,52 @@ class ChunkEncoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [self.tokenizer.id_to_token(k) or "" for k in range(size)]
         self.numbers = [str(k) for k in range(size)]
-        self.memory: dict[bytes, tuple[list[int], str, str]] = {}
+        self.memory: dict[bytes, Entry] = {}
         self.held = 0
 
-    def _encode(self, texts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-
-    def _entry(self, ids: list[int]) -> tuple[list[int], str, str]:
-        return ids, " ".join([self.numbers[k] for k in ids]), " ".join([self.names[k] for k in ids]) if self.plain_decoding else ""
-
-    def _learn(self, found: list[list[bytes]]) -> None:
-        if self.held > MEMORY_BYTES:
-            self.memory.clear()
-            self.held = 0
-        new = list({c for cs in found for c in cs if c not in self.memory})
-        for chunk, ids in zip(new, self._encode(new), strict=True):
-            self.memory[chunk] = self._entry(ids)
-            self.held += len(chunk)
+    def _entries(self, texts: list[bytes]) -> Iterator[Entry]:
+        for data in encoded(texts, self.path):
+            ids = memoryview(data).cast("I").tolist()
+            yield Entry(data, " ".join([self.numbers[k] for k in ids]), " ".join([self.names[k] for k in ids]) if self.plain_decoding else "")
 
     @staticmethod
-    def agrees(left: list[int], right: list[int], both: list[int]) -> bool:
+    def agrees(left: bytes, right: bytes, both: bytes) -> bool:
+        """Whether both are an end of left and a start of right, whole ids each."""
         n = len(both)
-        return any(both[:k] == (left[-k:] if k else []) and both[k:] == right[: n - k] for k in range(min(n, len(left)) + 1))
+        return any(left.endswith(both[:k]) and right.startswith(both[k:]) for k in range(0, min(n, len(left)) + 1, 4) if n - k <= len(right))
 
-    def encode(self, texts: list[bytes]) -> list[tuple[list, int]]:
+    def encode(self, texts: list[bytes]) -> list[tuple[list[Entry], int]]:
         """For each text its entries, whose ids one after another are the text's, and the number of repaired joins."""
         found = [chunks(t) for t in texts]
-        self._learn(found)
-        windows = {(a.rsplit(None, 1) or [b""])[-1] + b[: len(b) - len((b.split(None, 1) + [b"", b""])[1])].rstrip(): None for cs in found for a, b in zip(cs, cs[1:], strict=False)}
-        for window, ids in zip(windows, self._encode(list(windows)), strict=True):
-            windows[window] = ids
+        if self.held > MEMORY_BYTES:
+            self.memory.clear()
+            self.held = 0
+        new = list({c for cs in found for c in cs if c not in self.memory})
+        self.memory.update(zip(new, self._entries(new), strict=True))
+        self.held += sum(map(len, new))
+        windows = list({last_word(a) + first_word(b) for cs in found for a, b in pairwise(cs)})
+        whole = self.tokenizer.encode_batch_fast([w.decode() for w in windows], add_special_tokens=False)  # by the library alone
+        joins = {w: array("I", e.ids).tobytes() for w, e in zip(windows, whole, strict=True)}
         out = []
         for cs in found:
-            entries, repaired, last = [], 0, b""
+            entries: list[Entry] = []
+            repaired, left = 0, b""
             for chunk in cs:
                 entry = self.memory[chunk]
-                if last:
-                    head = chunk[: len(chunk) - len((chunk.split(None, 1) + [b"", b""])[1])].rstrip()
-                    window = (last.rsplit(None, 1) or [b""])[-1] + head
-                    both = windows.get(window)
-                    if both is None:
-                        both = self._encode([window])[0]
-                    if not self.agrees(entries[-1][0], entry[0], both):
-                        chunk = last + chunk
-                        entries.pop()
-                        entry = self._entry(self._encode([chunk])[0])
-                        repaired += 1
+                if left and not self.agrees(entries[-1].ids, entry.ids, joins[last_word(left) + first_word(chunk)]):
+                    chunk = left + chunk
+                    entry = next(self._entries([chunk]))
+                    entries.pop()
+                    repaired += 1
                 entries.append(entry)
-                last = chunk
+                left = chunk
             out.append((entries, repaired))
         return out
 
-    def decoded(self, entries: list) -> str:
+    def decoded(self, entries: list[Entry]) -> str:
         if self.plain_decoding:
-            return " ".join([e[2] for e in entries if e[0]])
-        return self.tokenizer.decode([k for e in entries for k in e[0]], skip_special_tokens=False)
+            return " ".join([e.decoded for e in entries if e.ids])
+        return self.tokenizer.decode(np.frombuffer(b"".join([e.ids for e in entries]), np.uint32).tolist(), skip_special_tokens=False)
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -129,7 +140,7 @@ def encode_documents(documents: DataFrame, vocabulary: str | None = None) -> Dat
         own = encoder(vocabulary)
         for batch in slices(batches, 128):
             got = own.encode(texts_as_bytes(batch.column("text")))
-            ids = pa.array([[k for e in entries for k in e[0]] for entries, _ in got], pa.list_(pa.int32()))
+            ids = pa.array([np.frombuffer(b"".join([e.ids for e in entries]), np.int32) for entries, _ in got], pa.list_(pa.int32()))
             yield pa.record_batch([batch.column("doc_id"), ids, pa.array([own.decoded(entries) for entries, _ in got], pa.string()), pa.array([r for _, r in got], pa.int64())], ["doc_id", "ids", "decoded", "repaired_joins"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string, repaired_joins long")
@@ -144,8 +155,8 @@ def op4(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in slices(batches, 128):
             rows = []
             for entries, repaired in own.encode(texts_as_bytes(batch.column("text"))):
-                ids = " ".join([e[1] for e in entries if e[0]])
-                rows.append((sum(len(e[0]) for e in entries), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(own.decoded(entries).encode()).hexdigest(), repaired))
+                ids = " ".join([e.numbers for e in entries if e.ids])
+                rows.append((sum(len(e.ids) for e in entries) // 4, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(own.decoded(entries).encode()).hexdigest(), repaired))
             yield pa.record_batch([batch.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "repaired_joins"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, repaired_joins long")
