@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, ngram_join, substring, token_files
+from . import bpe, language, media, ngram_join, quality, substring, token_files
 from .common import table
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.op8(table(spark, sf_dir, "documents"))
 
@@ -26,12 +30,16 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.op3(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op4_bpe_chunks, op8_substring_dedup, op9_jaccard_join, op10_media_columns)}
+    return {f.__name__: f for f in (op2_token_files, op3_language_profiles, op4_bpe_chunks, op7_quality, op8_substring_dedup, op9_jaccard_join, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
