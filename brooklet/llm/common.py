@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from tempfile import mkdtemp
 
@@ -100,3 +101,40 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = mixed(out + h[k : k + len(out)] + np.uint64(k + 1))
     return out
+
+
+PACKED = "bucket int, records binary"
+
+
+def packed(records: np.ndarray, slot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """PACKED rows of the records of each slot (a bucket's number): many small records cross a shuffle as few arrays."""
+    slot = slot.astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    records, ends = records[order], np.searchsorted(slot[order], np.arange(buckets + 1))
+    full = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
+    for at in range(0, len(full), 64):
+        some = full[at : at + 64]
+        yield pa.record_batch([pa.array(some, pa.int32()), pa.array([records[ends[k] : ends[k + 1]].tobytes() for k in some], pa.binary())], ["bucket", "records"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[np.ndarray]:
+    """All records of one bucket after another, of those whose PACKED rows came to this task."""
+    got: dict[int, list[bytes]] = defaultdict(list)
+    for batch in batches:
+        for bucket, records in zip(batch.column("bucket").to_pylist(), batch.column("records").to_pylist(), strict=True):
+            got[bucket].append(records)
+    while got:
+        yield np.frombuffer(b"".join(got.popitem()[1]), dtype)
+
+
+def slot_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return mixed(keys.astype(np.int64).view(np.uint64)) % np.uint64(buckets)
+
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in sorted columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)

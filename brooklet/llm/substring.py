@@ -3,22 +3,23 @@
 Method: suffix automata of reference shards, through which the rest is streamed for matching statistics. Automata of
 the whole corpus could be broadcast to no machine, so references and what is held against them are routed to each other:
 
-1. Anchors. Of the ANCHOR_WORDS-grams in a window the one with the least hash (the leftmost of equals) is its anchor;
-   equal windows have equal anchors at the same place. Anchors are counted through packed arrays, sixteen bytes each;
-   those that occur once in the corpus need no further look.
+1. Anchors. Of the ANCHOR_WORDS-grams in a window the one with the least hash is its anchor, so equal windows have
+   equal anchors (which of several equal grams is taken depends on their places, so that few stand for many windows).
+   Anchors are counted through packed arrays, sixteen bytes each; those that occur once in the corpus need no look.
 2. Pieces. The windows of one document that share a repeated anchor are a piece: W words and a few more. Pieces
    of an anchor go to one shard and are read there in the order of (doc_id, start). Each is streamed through the suffix
    automaton of the pieces before it; where the matching statistic is W or more, the window ending there is covered.
-   What isn't covered throughout is then inserted. A piece equal to an earlier one is covered throughout.
+   What isn't covered throughout is then inserted; in a piece that may repeat itself, insertion gives the statistic.
+   A piece equal to an earlier one is covered throughout.
 3. An anchor with more than HOT_ANCHOR occurrences (a line that a large part of the corpus shares) is never gathered in
-   one task: its windows are told apart by hash, the first of each is found by a pre-aggregated minimum, and a join
-   marks the others. The result is the same.
+   one task: its windows are told apart by hash; each task finds the first of equal windows in what it has read, and
+   only these meet. The result is the same.
 
 Words are compared by hash: 32 bits each in a piece (64 bits a window), 20 words at least that all agree.
 
 Defined results: null, empty and white-space texts have no words; texts shorter than W words lose none; rows of equal
-doc_id count as one document, so that only a smaller start is earlier (repeated rows lose nothing to each other); a null
-doc_id comes before all others; extra columns are ignored; an empty table gives no rows.
+doc_id count as one document (of equal starts in different texts the one with the smaller text hash is first; repeated
+rows lose nothing to each other); a null doc_id comes before all others; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, mixed, shingle_hashes, slices, texts_as_bytes
+from .common import PACKED, hashes, mixed, packed, runs, shingle_hashes, slices, slot_of, texts_as_bytes, unpacked
 
 WINDOW, ANCHOR_WORDS = 20, 6
 #: Pieces of an anchor that one task gathers at most; bounds its automaton to about 200 MB.
@@ -50,13 +51,15 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
 
-    def add(self, sequence: list[int]) -> None:
-        following, link, length, last = self.next, self.link, self.length, 0
+    def add(self, sequence: list[int]) -> list[int]:
+        """Adds a sequence; for each place the length of the longest stretch ending there that was added before, or ends earlier in it."""
+        following, link, length, last, out = self.next, self.link, self.length, 0, []
         for symbol in sequence:
             p = last
             if symbol in following[p]:
                 q = following[p][symbol]
                 last = q if length[q] == length[p] + 1 else self._cloned(p, q, symbol)
+                out.append(length[last])
                 continue
             last = len(following)
             following.append({})
@@ -68,6 +71,8 @@ class SuffixAutomaton:
             if p >= 0:
                 q = following[p][symbol]
                 link[last] = q if length[q] == length[p] + 1 else self._cloned(p, q, symbol)
+            out.append(length[link[last]])
+        return out
 
     def _cloned(self, p: int, q: int, symbol: int) -> int:
         following, link = self.next, self.link
@@ -98,25 +103,38 @@ class SuffixAutomaton:
 
 
 class Shard:
-    """Pieces of one anchor, given in ascending (doc, start)."""
+    """Pieces of one anchor, given in ascending (key, start, copy)."""
 
     def __init__(self, window: int) -> None:
         self.window, self.whole, self.waiting, self.automaton = window, set(), [], None
 
-    def covered(self, piece: bytes) -> list[tuple[int, int]]:
-        """Spans of words of the piece that windows of pieces taken in before cover."""
+    def take(self, piece: bytes) -> list[tuple[int, int]]:
+        """Takes a piece in; spans of its words that windows before it, or starting earlier in it, cover."""
         size = len(piece) // 4
         if piece in self.whole:
             return [(0, size)]
-        if not self.whole:
+        symbols = np.frombuffer(piece, np.uint32).tolist()
+        simple = len(set(symbols)) > size - self.window  # then no window occurs twice in the piece
+        self.whole.add(piece)
+        if simple and len(self.whole) == 1:
+            self.waiting.append(symbols)
             return []
         if self.automaton is None:
             self.automaton = SuffixAutomaton()
         for other in self.waiting:
-            self.automaton.add(np.frombuffer(other, np.uint32).tolist())
+            self.automaton.add(other)
         self.waiting.clear()
+        spans = self._spans(self.automaton.statistics(symbols))
+        if spans == [(0, size)]:
+            return spans
+        if simple:
+            self.waiting.append(symbols)
+            return spans
+        return self._spans(self.automaton.add(symbols))
+
+    def _spans(self, statistics: list[int]) -> list[tuple[int, int]]:
         spans: list[tuple[int, int]] = []
-        for at, n in enumerate(self.automaton.statistics(np.frombuffer(piece, np.uint32).tolist())):
+        for at, n in enumerate(statistics):
             if n >= self.window:
                 first = at + 1 - self.window
                 if spans and first <= spans[-1][1]:
@@ -125,207 +143,254 @@ class Shard:
                     spans.append((first, at + 1))
         return spans
 
-    def take(self, piece: bytes, spans: list[tuple[int, int]]) -> None:
-        if piece not in self.whole:
-            self.whole.add(piece)
-            if spans != [(0, len(piece) // 4)]:
-                self.waiting.append(piece)
-
-
-def anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The word hashes of all texts and where each text starts; of each run of windows with one anchor: text, place of the anchor, first and last window (places in the flat array)."""
-    words = [t.split() for t in texts]
-    starts = np.cumsum([0, *map(len, words)])
-    flat = hashes([w for ws in words for w in ws])
-    empty = np.empty(0, np.int64)
-    grams = shingle_hashes(flat, ANCHOR_WORDS)
-    width = window - ANCHOR_WORDS + 1
-    if len(grams) < width:
-        return flat, starts, empty, empty, empty, empty
-    low, place, reach = grams, np.arange(len(grams)), 1
-    while reach < width:  # the least of `reach` grams from each place on, doubled until it is of `width`
-        step = min(reach, width - reach)
-        take = low[step:] < low[: len(low) - step]
-        place = np.where(take, place[step:], place[: len(place) - step])
-        low = np.where(take, low[step:], low[: len(low) - step])
-        reach += step
-    first = np.arange(len(place))
-    text = np.searchsorted(starts, first, "right") - 1
-    good = first + window <= starts[text + 1]
-    first, place, text = first[good], place[good], text[good]
-    if not len(first):
-        return flat, starts, empty, empty, empty, empty
-    new = np.concatenate(([True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])))
-    at = np.flatnonzero(new)
-    return flat, starts, text[at], place[at], first[at], first[np.append(at[1:], len(first)) - 1]
-
-
-def anchor_hashes(flat: np.ndarray, place: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(place), np.uint64)
-    for k in range(ANCHOR_WORDS):
-        out = mixed(out + flat[place + k] + np.uint64(k + 1))
+
+class Anchors:
+    """The anchors of some texts' windows. starts: where each text begins in the flat array of word hashes; for each run of
+    windows with one anchor: name, text, place (in the flat array), first and last window, and whether an equal gram is in one of them too."""
+
+    def __init__(self, texts: list[bytes], window: int) -> None:
+        words = [t.split() for t in texts]
+        self.starts = np.cumsum([0, *map(len, words)])
+        self.flat = hashes([w for ws in words for w in ws])
+        self.name, self.text = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.place = self.first = self.last = self.text
+        self.twice = np.empty(0, bool)
+        grams = shingle_hashes(self.flat, ANCHOR_WORDS)
+        width = window - ANCHOR_WORDS + 1
+        if len(grams) < width:
+            return
+        place = np.arange(len(grams))
+        own = place - self.starts[np.searchsorted(self.starts, place, "right") - 1]
+        low = (grams & ~_TIE) | (mixed(own.astype(np.uint64)) & _TIE)  # equal grams: by a hash of the place, so that runs stay long
+        reach, twice = 1, np.zeros(len(grams), bool)
+        while reach < width:  # the least of `reach` grams from each place on, doubled until it is of `width`
+            step = min(reach, width - reach)
+            a, b = low[: len(low) - step], low[step:]
+            take = b < a
+            twice = np.where(take, twice[step:], twice[: len(twice) - step]) | ((a >> _TIE_BITS == b >> _TIE_BITS) & (place[: len(place) - step] != place[step:]))
+            place = np.where(take, place[step:], place[: len(place) - step])
+            low = np.where(take, b, a)
+            reach += step
+        first = np.arange(len(place))
+        text = np.searchsorted(self.starts, first, "right") - 1
+        good = first + window <= self.starts[text + 1]
+        first, place, text, low, twice = first[good], place[good], text[good], low[good], twice[good]
+        at = runs(place, text)
+        self.name, self.text, self.place, self.first = mixed(low[at] >> _TIE_BITS), text[at], place[at], first[at]
+        self.last = first[np.append(at[1:], len(first)) - 1] if len(at) else first
+        self.twice = np.logical_or.reduceat(twice, at) if len(at) else twice
+
+
+_TIE_BITS = np.uint64(16)
+_TIE = np.uint64((1 << 16) - 1)
+#: What crosses the shuffles: an anchor; a repeated place of a document; a window of a hot anchor; a covered span.
+ANCHOR = np.dtype([("name", "<u4"), ("key", "<i8"), ("place", "<u4")])
+PLACE = np.dtype([("key", "<i8"), ("place", "<u4")])
+SEEN = np.dtype([("window", "<u8"), ("key", "<i8"), ("copy", "<i4"), ("start", "<u4")])
+SPAN = np.dtype([("key", "<i8"), ("copy", "<i4"), ("from", "<u4"), ("to", "<u4")])
+
+
+def record(dtype: np.dtype, *columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(columns[0]), dtype)
+    for name, c in zip(dtype.names, columns, strict=True):
+        out[name] = c
     return out
 
 
+def copy_of(text: bytes) -> int:
+    """Tells texts of equal doc_id apart."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "big", signed=True)
+
+
 def keyed(documents: DataFrame) -> DataFrame:
     """key (doc_id, or the least integer for null) and text."""
     return documents.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text")
 
 
+def _by_key(dtype: np.dtype, column: str):
+    """Of PACKED records with a key, one row a key: all its records without the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [n for n in dtype.names if n != "key"]
+        for records in unpacked(batches, dtype):
+            records = records[np.argsort(records["key"], kind="stable")]
+            first = runs(records["key"])
+            own = record(np.dtype([(n, dtype[n]) for n in rest]), *(records[n] for n in rest))
+            yield pa.record_batch([pa.array(records["key"][first]), pa.array([x.tobytes() for x in np.split(own, first[1:])], pa.binary())], ["key", column])
+
+    return run
+
+
 def repeated_anchors(documents: DataFrame, window: int, hot: int) -> DataFrame:
-    """key, places: where in each document (words from its start, 32 bits, the highest one set for a hot anchor) repeated anchors are; several rows a document."""
+    """key, places: where in each document repeated anchors are (words from its start; the highest bit is set for a hot anchor)."""
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * 4
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sig, key, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(sig, kind="stable")
-            sig, key, place = sig[order], key[order], place[order]
-            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-            sizes = np.diff(np.append(first, len(sig)))
+            name, key, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(name, kind="stable")
+            name, key, place = name[order], key[order], place[order]
+            first = runs(name)
+            sizes = np.diff(np.append(first, len(name)))
             frequent = np.repeat(sizes > hot, sizes)
-            marks = first[sizes > hot]
-            if len(marks):  # known to be hot already: the places go on by document, a mark with the count by anchor
-                n = frequent.sum()
-                slot = (mixed(key[frequent].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(slot, kind="stable")
-                ends = np.searchsorted(slot[by], np.arange(buckets + 1))
-                keys, places = key[frequent][by], (place[frequent] | _HOT)[by]
-                assert n == len(keys)
-                full = [k for k in range(buckets) if ends[k] < ends[k + 1]]
-                yield pa.record_batch([pa.array(full, pa.int32()), pa.array([b""] * len(full), pa.binary()), *(pa.array([x[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary()) for x in (keys, places))], ["bucket", "sigs", "keys", "places"])
-                sig, key, place = (np.concatenate((x[~frequent], y)) for x, y in ((sig, sig[marks]), (key, np.zeros(len(marks), np.int64)), (place, np.full(len(marks), _HOT, np.uint32))))
-            bucket = ((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
-            sig, key, place = (sig[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), key[order], place[order]
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            full = [k for k in range(buckets) if ends[k] < ends[k + 1]]
-            for at in range(0, len(full), 64):
-                some = full[at : at + 64]
-                yield pa.record_batch([pa.array(some, pa.int32()), *(pa.array([x[ends[k] : ends[k + 1]].tobytes() for k in some], pa.binary()) for x in (sig, key, place))], ["bucket", "sigs", "keys", "places"])
+            if frequent.any():  # known to be hot: places pass by under a name of their own, a mark of each anchor goes to its bucket
+                direct = record(ANCHOR, np.zeros(frequent.sum()), key[frequent], place[frequent] | _HOT)
+                yield from packed(direct, np.uint64(buckets) + slot_of(direct["key"], buckets), 2 * buckets)
+                marks = first[sizes > hot]
+                name, key, place = np.concatenate((name[~frequent], name[marks])), np.concatenate((key[~frequent], key[marks])), np.concatenate((place[~frequent], np.full(len(marks), _HOT)))
+            slot = ((name >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            yield from packed(record(ANCHOR, name & np.uint64(0xFFFFFFFF), key, place), slot, buckets)
 
         for batch in slices(batches):
-            flat, starts, text, place, _, _ = anchors(texts_as_bytes(batch.column("text")), window)
-            held.append((anchor_hashes(flat, place), batch.column("key").to_numpy()[text], (place - starts[text]).astype(np.uint32)))
-            count += len(text)
+            a = Anchors(texts_as_bytes(batch.column("text")), window)
+            times = 1 + a.twice  # an anchor that is in its windows more than once counts as repeated
+            held.append(tuple(np.repeat(x, times) for x in (a.name, batch.column("key").to_numpy()[a.text], (a.place - a.starts[a.text]).astype(np.uint32))))
+            count += len(a.text)
             if count > HELD_ANCHORS:
                 yield from flush()
                 held, count = [], 0
         if count:
             yield from flush()
 
-    def by_document(keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(keys, kind="stable")
-        keys, places = keys[order], places[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))).tolist()
-        return pa.record_batch([pa.array(keys[first]), pa.array([places[a:b].tobytes() for a, b in zip(first, [*first[1:], len(keys)], strict=True)], pa.binary())], ["key", "places"])
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = defaultdict(list)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for bucket, sig, key, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if sig:
-                    got[bucket].append((sig, key, place))
-                else:
-                    found.append((np.frombuffer(key, np.int64), np.frombuffer(place, np.uint32)))
-        while got:
-            _, blobs = got.popitem()
-            sig, key, place = (np.concatenate([np.frombuffer(x[k], kind) for x in blobs]) for k, kind in enumerate((np.uint32, np.int64, np.uint32)))
-            order = np.argsort(sig, kind="stable")
-            sig, key, place = sig[order], key[order], place[order]
-            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-            sizes = np.diff(np.append(first, len(sig)))
-            marked = np.maximum.reduceat(place, first) >= _HOT
-            several, frequent = np.repeat((sizes > 1) | marked, sizes), np.repeat((sizes > hot) | marked, sizes)
-            several &= place < _HOT
-            found.append((key[several], np.where(frequent, place | _HOT, place)[several]))
-        if sum(len(k) for k, _ in found):
-            yield by_document(np.concatenate([k for k, _ in found]), np.concatenate([p for _, p in found]))
+        found: list[np.ndarray] = []
+
+        def count(records: np.ndarray) -> np.ndarray:
+            records = records[np.argsort(records["name"], kind="stable")]
+            first = runs(records["name"])
+            sizes = np.diff(np.append(first, len(records)))
+            marked = np.maximum.reduceat(records["place"], first) >= _HOT
+            keep = np.repeat((sizes > 1) | marked, sizes) & (records["place"] < _HOT)
+            frequent = np.repeat((sizes > hot) | marked, sizes)
+            return record(PLACE, records["key"], records["place"] | np.where(frequent, _HOT, np.uint32(0)))[keep]
+
+        def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                direct = np.array(batch.column("bucket").to_numpy() >= buckets)
+                for x in batch.filter(pa.array(direct)).column("records").to_pylist():
+                    r = np.frombuffer(x, ANCHOR)
+                    found.append(record(PLACE, r["key"], r["place"]))
+                yield batch.filter(pa.array(~direct))
 
-    dealt = keyed(documents).mapInArrow(deal, "bucket int, sigs binary, keys binary, places binary")
-    return dealt.repartition(parts, "bucket").mapInArrow(meet, "key long, places binary")
+        for records in unpacked(passed(batches), ANCHOR):
+            found.append(count(records))
+        if found:
+            every = np.concatenate(found)
+            yield from packed(every, slot_of(every["key"], buckets), buckets)
 
+    met = keyed(documents).mapInArrow(deal, PACKED).repartition(parts, "bucket").mapInArrow(meet, PACKED)
+    return met.repartition(parts, "bucket").mapInArrow(_by_key(PLACE, "places"), "key long, places binary")
 
-PIECE = "hot boolean, anchor long, key long, copy int, start int, words binary"
 
+#: kind 0: a piece's words (32 bits each); 1: SEEN records of a bucket to be compared; 2: SEEN records known to be covered.
+PIECE = "kind int, anchor long, key long, start int, copy int, words binary"
 
-def pieces(documents: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
-    """PIECE: of a repeated anchor, the words of its windows (32 bits each); of a hot one, the windows' hashes (64 bits each)."""
-    placed = repeated.groupBy("key").agg(F.collect_list("places").alias("places"))
+
+def pieces(documents: DataFrame, repeated: DataFrame, window: int, buckets: int) -> DataFrame:
+    """PIECE rows of the windows that repeated anchors stand for."""
+    names = [x.split()[0] for x in PIECE.split(", ")]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+    def blocks(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            zero = np.zeros(b.num_rows, np.int64)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip((zero + kind, b.column("bucket").to_numpy(), zero, zero, zero, b.column("records").to_pylist()), kinds, strict=True)], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            seen = np.concatenate(held)
+            seen = seen[np.lexsort((seen["copy"], seen["start"], seen["key"], seen["window"]))]
+            first = runs(seen["window"])
+            least = np.repeat(seen[first], np.diff(np.append(first, len(seen))))
+            later = (seen["key"] != least["key"]) | (seen["start"] != least["start"]) | (seen["copy"] != least["copy"])
+            yield from blocks(packed(seen[later], slot_of(seen["key"][later], buckets), buckets), 2)
+            yield from blocks(packed(seen[~later], slot_of(seen["window"][~later].view(np.int64), buckets), buckets), 1)
+
         for batch in slices(batches, 256):
             texts = texts_as_bytes(batch.column("text"))
-            flat, starts, text, place, first, last = anchors(texts, window)
-            marks = [np.frombuffer(b"".join(p), np.uint32) for p in batch.column("places").to_pylist()]
-            wanted = np.concatenate([(m & ~_HOT).astype(np.int64) + s for m, s in zip(marks, starts, strict=False)])
-            hot = np.zeros(len(flat) + 1, bool)
-            some = np.zeros(len(flat) + 1, bool)
-            some[np.minimum(wanted, len(flat))] = True
-            hot[np.minimum(wanted[np.concatenate([m >= _HOT for m in marks])], len(flat))] = True
-            keep = some[place]
-            text, place, first, last = text[keep], place[keep], first[keep], last[keep]
-            frequent = hot[place]
-            small = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            blobs = [small[a : b + window].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            for k in np.flatnonzero(frequent).tolist():
-                blobs[k] = shingle_hashes(flat[first[k] : last[k] + window], window).tobytes()
-            copies = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "big", signed=True) for t in texts], np.int32)
-            yield pa.record_batch([
-                pa.array(frequent), pa.array(anchor_hashes(flat, place).view(np.int64)), pa.array(batch.column("key").to_numpy()[text]),
-                pa.array(copies[text]), pa.array((first - starts[text]).astype(np.int32)), pa.array(blobs, pa.binary()),
-            ], [x.split()[0] for x in PIECE.split(", ")])
-
-    return keyed(documents).join(placed, "key").mapInArrow(cut, PIECE)
-
-
-SPAN = "key long, copy int, spans binary"
-
-
-def covered_spans(found: DataFrame, window: int) -> DataFrame:
-    """SPAN: pairs of 32-bit integers, from and to, in words of the document; several rows a document."""
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            a = Anchors(texts, window)
+            marks = [np.frombuffer(p, np.uint32) for p in batch.column("places").to_pylist()]
+            at = np.concatenate([np.minimum((m & ~_HOT).astype(np.int64) + s, len(a.flat)) for m, s in zip(marks, a.starts, strict=False)])
+            state = np.zeros(len(a.flat) + 1, np.int8)
+            state[at] = 1
+            state[at[np.concatenate(marks) >= _HOT]] = 2
+            keys, copies = batch.column("key").to_numpy(), np.array([copy_of(t) for t in texts], np.int32)
+            small = (a.flat & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            cold = np.flatnonzero(state[a.place] == 1)
+            text, first, last = a.text[cold], a.first[cold], a.last[cold]
+            words = [small[x : y + window].tobytes() for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip((np.zeros(len(cold)), a.name[cold].view(np.int64), keys[text], first - a.starts[text], copies[text], words), kinds, strict=True)], names)
+            frequent = np.flatnonzero(state[a.place] == 2)
+            if len(frequent):
+                sizes = a.last[frequent] - a.first[frequent] + 1
+                start = np.repeat(a.first[frequent] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                text = np.repeat(a.text[frequent], sizes)
+                total = np.zeros(len(start), np.uint64)
+                for k in range(window):
+                    total = mixed(total + a.flat[start + k] + np.uint64(k + 1))
+                held.append(record(SEEN, total, keys[text], copies[text], start - a.starts[text]))
+                if sum(map(len, held)) > HELD_ANCHORS:
+                    yield from flush()
+                    held.clear()
+        if held:
+            yield from flush()
+
+    return keyed(documents).join(repeated, "key").mapInArrow(cut, PIECE)
+
+
+def covered_spans(found: DataFrame, window: int, parts: int, buckets: int) -> DataFrame:
+    """key, spans: SPAN records without the key, of each document that loses words."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, current, ties, at = None, None, [], None
-        for batch in slices(batches, 4096):
+        shard, current, before = None, None, None
+        to_compare: dict[int, list[bytes]] = defaultdict(list)
+        held: list[np.ndarray] = []
+        count = 0
+
+        def seen_spans(seen: np.ndarray) -> np.ndarray:
+            return record(SPAN, seen["key"], seen["copy"], seen["start"], seen["start"] + np.uint32(window))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            every = np.concatenate(held)
+            yield from packed(every, slot_of(every["key"], buckets), buckets)
+            held.clear()
+
+        for batch in slices(batches, 8192):
             out = []
-            for anchor, key, copy, start, piece in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "copy", "start", "words")), strict=True):
+            for kind, anchor, key, start, copy, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 1:
+                    to_compare[anchor].append(piece)
+                    continue
+                if kind == 2:
+                    held.append(seen_spans(np.frombuffer(piece, SEEN)))
+                    continue
                 if anchor != current:
-                    shard, current, ties, at = Shard(window), anchor, [], (key, start)
-                elif (key, start) != at:
-                    for x in ties:
-                        shard.take(*x)
-                    ties, at = [], (key, start)
-                spans = shard.covered(piece)
-                ties.append((piece, spans))
-                if spans:
-                    out.append((key, copy, np.array(spans, np.uint32) + np.uint32(start)))
-            yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2].tobytes() for o in out], pa.binary())], ["key", "copy", "spans"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
-            got = [np.frombuffer(x, np.int64) for x in batch.column("words").to_pylist()]
-            sizes = np.array([len(x) for x in got], np.int64)
-            at = np.concatenate([np.arange(n) for n in sizes]) if len(got) else np.empty(0, np.int64)
-            column = lambda name: np.repeat(batch.column(name).to_numpy(), sizes)
-            yield pa.record_batch([pa.array(np.concatenate(got) if got else [], pa.int64()), pa.array(column("key")), pa.array(column("copy")), pa.array((column("start") + at).astype(np.int32))], ["window", "key", "copy", "start"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            start = batch.column("start").to_numpy().astype(np.uint32)
-            yield pa.record_batch([batch.column("key"), batch.column("copy"), pa.array([x.tobytes() for x in np.stack((start, start + np.uint32(window)), 1)], pa.binary())], ["key", "copy", "spans"])
-
-    cold = found.where("not hot").repartition(parts, "anchor").sortWithinPartitions("anchor", "key", "start").mapInArrow(stream, SPAN)
-    single = found.where("hot").mapInArrow(windows, "window long, key long, copy int, start int")
-    first = single.groupBy("window").agg(F.min(F.struct("key", "start")).alias("first"))
-    later = single.join(first, "window").where(F.struct("key", "start") > F.col("first")).select("key", "copy", "start")
-    return cold.union(later.mapInArrow(packed, SPAN))
+                    shard, current, before = Shard(window), anchor, None
+                if before is None or before[0] != (key, start, copy):  # else a row that is there twice
+                    before = (key, start, copy), shard.take(piece)
+                out += [(key, copy, start + a, start + b) for a, b in before[1]]
+            if out:
+                held.append(record(SPAN, *np.array(out, np.int64).T))
+            count = sum(map(len, held))
+            if count > HELD_ANCHORS:
+                yield from flush()
+        while to_compare:
+            seen = np.frombuffer(b"".join(to_compare.popitem()[1]), SEEN)
+            seen = seen[np.lexsort((seen["copy"], seen["start"], seen["key"], seen["window"]))]
+            first = runs(seen["window"])
+            least = np.repeat(seen[first], np.diff(np.append(first, len(seen))))
+            held.append(seen_spans(seen[(seen["key"] != least["key"]) | (seen["start"] != least["start"]) | (seen["copy"] != least["copy"])]))
+        if held:
+            yield from flush()
+
+    ordered = found.repartition(parts, "anchor").sortWithinPartitions("kind", "anchor", "key", "start", "copy")
+    return ordered.mapInArrow(stream, PACKED).repartition(parts, "bucket").mapInArrow(_by_key(SPAN, "spans"), "key long, spans binary")
 
 
 def _kept(text: bytes, mask: np.ndarray) -> bytes:
@@ -340,23 +405,22 @@ def _kept(text: bytes, mask: np.ndarray) -> bytes:
 
 def deduplicated(documents: DataFrame, window: int = WINDOW, hot: int = HOT_ANCHOR, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed and either the text that is kept (spacing and all) or kept_sha256 of the kept words joined by a blank."""
-    spans = covered_spans(pieces(documents, repeated_anchors(documents, window, hot), window), window)
-    gathered = spans.groupBy("key").agg(F.collect_list("copy").alias("copies"), F.collect_list("spans").alias("spans"))
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = covered_spans(pieces(documents, repeated_anchors(documents, window, hot), window, parts * 4), window, parts, parts * 4)
     last = "text string" if with_text else "kept_sha256 string"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             rows = []
-            for text, copies, found in zip(texts_as_bytes(batch.column("text")), batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, found in zip(texts_as_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
                 words = text.split()
                 kept, gone = words, None
                 if found:
-                    own = int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "big", signed=True)
+                    pairs = np.frombuffer(found, [(n, SPAN[n]) for n in SPAN.names if n != "key"])
+                    pairs = pairs[pairs["copy"] == copy_of(text)]
                     step = np.zeros(len(words) + 1, np.int64)
-                    if any(c == own for c in copies):
-                        pairs = np.frombuffer(b"".join([s for c, s in zip(copies, found, strict=True) if c == own]), np.uint32).reshape(-1, 2)
-                        np.add.at(step, pairs[:, 0], 1)
-                        np.add.at(step, pairs[:, 1], -1)
+                    np.add.at(step, pairs["from"], 1)
+                    np.add.at(step, pairs["to"], -1)
                     gone = np.cumsum(step[:-1]) > 0
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 if with_text:
@@ -366,7 +430,7 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, hot: int = HOT_ANCH
                 rows.append((len(words), len(words) - len(kept), end))
             yield pa.record_batch([batch.column("key"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["key", "n_words", "n_removed", last.split()[0]])
 
-    joined = keyed(documents).join(gathered, "key", "left").mapInArrow(finish, f"key long, n_words long, n_removed long, {last}")
+    joined = keyed(documents).join(spans, "key", "left").mapInArrow(finish, f"key long, n_words long, n_removed long, {last}")
     return joined.withColumn("key", F.nullif("key", F.lit(-(1 << 63)))).withColumnRenamed("key", "doc_id")
 
 
