@@ -8,11 +8,13 @@
    isn't empty, and one common signature if k - H of its cells or more are empty (then the equal cells may all be empty,
    in either set). Sets that share a signature meet in a tile; no linked pair is missed. Signatures go through the
    shuffle as packed arrays, twelve bytes each.
-3. Each tile links its members to its smallest node: a hashed bitmap of each set bounds their overlap from above, and
-   what remains is intersected exactly as sorted arrays. Components of the links follow (large star, small star).
-4. Only a tile whose members still lie in several components is compared further: it is cut into blocks of TILE_SETS
-   sets, each pair of blocks is one task's matter, bitmaps bound the overlap of pairs from different components, and
-   exact intersections decide. So copies and near copies cost one comparison each, never all pairs of a group.
+3. Each tile is a star at first: its leader (the member that meets most others over all tiles, so the origin of near
+   copies rather than one of them) is held against the members of other components. A hashed bitmap of each set bounds
+   their overlap from above, and what remains is intersected exactly as sorted arrays. Components of the links follow
+   (large star, small star). Tiles still in several components try their next leader, STAR_ROUNDS in all.
+4. Tiles that are left are compared in full: cut into blocks of TILE_SETS sets, each pair of blocks one task's matter;
+   bitmaps bound the overlap of pairs from different components, and exact intersections decide. So copies and near
+   copies cost a few comparisons each, never all pairs of a group.
 
 Shingles are compared by 64-bit hashes, nodes too: two sets of different shingles count as equal with a probability of
 about the square of their number over 2^65.
@@ -38,6 +40,8 @@ from .common import hashes, mixed, shingle_hashes, slices, stored, texts_as_byte
 BAND_GROWTH = 1.5
 #: Sets of a block in step 4, and signatures that a task holds before it passes them on.
 TILE_SETS, HELD_SIGNATURES = 1024, 3_000_000
+#: Leaders that a tile tries in step 3. More or fewer give the same components.
+STAR_ROUNDS = 3
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -132,7 +136,7 @@ def shingle_nodes(documents: DataFrame, n: int) -> DataFrame:
 
 
 def tiles(documents: DataFrame, n: int, levels: Levels) -> DataFrame:
-    """tile, leader, node: members of the tiles with at least two nodes; tiles of equal members met in a task are one."""
+    """tile, size, node: members of the tiles with at least two nodes; tiles of equal members met in a task are one."""
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * 4
@@ -199,15 +203,15 @@ def tiles(documents: DataFrame, n: int, levels: Levels) -> DataFrame:
                 known.update(names[keep].tolist())
                 rows = np.repeat(keep, sizes)
                 if rows.any():
-                    yield pa.record_batch([pa.array(np.repeat(names, sizes)[rows]), pa.array(np.repeat(node[first], sizes)[rows]), pa.array(node[rows])], ["tile", "leader", "node"])
+                    yield pa.record_batch([pa.array(np.repeat(names, sizes)[rows]), pa.array(np.repeat(sizes, sizes)[rows]), pa.array(node[rows])], ["tile", "size", "node"])
 
     dealt = documents.select("text").mapInArrow(deal, "bucket int, sigs binary, nodes binary")
-    return dealt.repartition(parts, "bucket").mapInArrow(meet, "tile long, leader long, node long")
+    return dealt.repartition(parts, "bucket").mapInArrow(meet, "tile long, size long, node long")
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """A bit for each hash modulo the smallest power of two that is at least twice the size, and 64."""
-    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    """A bit for each hash modulo the smallest power of two that is at least eight times the size."""
+    bits = max(64, 1 << (8 * len(shingles) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
@@ -283,17 +287,33 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """tile, leader, node, root, blocks of the tiles with three nodes or more whose members lie in several components."""
-    known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_tiles = known.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
-    return known.join(open_tiles.select("tile", F.ceil(F.col("n") / TILE_SETS).cast("int").alias("blocks")), "tile")
+def ranked(members: DataFrame) -> DataFrame:
+    """tile, rank, node; rank orders the members of a tile: those that meet most others in all their tiles come last."""
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    return members.join(weight, "node").select("tile", F.struct("weight", "node").alias("rank"), "node")
+
+
+def unresolved(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """tile, rank, node, root, n of the tiles whose members lie in several components."""
+    known = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_tiles = known.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    return known.join(open_tiles.select("tile", "n"), "tile").select("tile", "rank", "node", "root", "n")
+
+
+def stars(rows: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The next leader of each open tile (tile, leader) and the pairs a, b of leaders and members of other components."""
+    left = rows if before is None else rows.join(before, "tile").where(F.col("rank") < F.col("leader")).drop("leader")
+    leaders = left.groupBy("tile").agg(F.max("rank").alias("leader"), F.max_by("root", "rank").alias("leading"))
+    pairs = rows.join(leaders, "tile").where(F.col("root") != F.col("leading"))
+    pairs = pairs.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
+    return leaders.select("tile", "leader"), pairs.distinct()
 
 
 def block_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: pairs of open tiles that bitmaps let through, of different components, none the tile's leader."""
+    """a, b: pairs of open tiles that bitmaps let through, of different components."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / TILE_SETS).cast("int"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    own = rows.where("node <> leader").withColumn("block", block).join(sets.select("node", "size", "bitmap"), "node")
+    own = rows.withColumn("block", block).join(sets.select("node", "size", "bitmap"), "node")
     every = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = every.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "size", "bitmap")
 
@@ -322,14 +342,25 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, num: int = 85, de
     levels = Levels(num, den)
     nodes = stored(shingle_nodes(documents, shingle), "nodes")
     classes = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("representative"))
-    members = stored(tiles(documents, shingle, levels), "tiles")
+    members = stored(ranked(tiles(documents, shingle, levels)), "tiles")
     sets = stored(set_table(documents, members, classes, shingle), "sets")
-    stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(verified(stars, sets, num, den), "links")
-    roots = stored(components(links), "roots")
-    more = stored(verified(block_pairs(stored(unresolved(members, roots), "open"), sets, num, den), sets, num, den), "links")
-    if not more.isEmpty():
-        roots = stored(components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+    links, roots, leaders, rows = None, None, None, stored(unresolved(members, None), "open")
+    for step in range(STAR_ROUNDS + 1):
+        if step < STAR_ROUNDS:
+            leaders, pairs = stars(rows, leaders)
+            leaders = stored(leaders, "leaders")
+        else:
+            pairs = block_pairs(rows, sets, num, den)
+        found = stored(verified(pairs, sets, num, den), "links")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            roots = stored(components(links), "roots")
+        if step < STAR_ROUNDS:
+            rows = stored(unresolved(rows.select("tile", "rank", "node"), roots), "open")
+            if rows.isEmpty():
+                break
+    if roots is None:
+        roots = members.select("node", F.col("node").alias("root")).distinct()
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("representative").alias("component_id"))
     labels = named.join(least, "root").select("node", "component_id")
