@@ -96,8 +96,8 @@ def encoded(texts: list[bytes], path: str) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
     memory = _memory.setdefault(path, {})
     words = [(_folded(t) if lower else t).split() for t in texts]
-    extra = _encoded_words(list({w for ws in words for w in ws if w not in memory}), path)
-    if len(memory) + len(extra) <= MEMORY_WORDS:
-        memory.update(extra)
-        return [b"".join(map(memory.__getitem__, ws)) for ws in words]
-    return [b"".join([memory[w] if w in memory else extra[w] for w in ws]) for ws in words]
+    found = [list(map(memory.get, ws)) for ws in words]
+    new = _encoded_words(list({w for ws, ids in zip(words, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}), path)
+    if len(memory) + len(new) <= MEMORY_WORDS:
+        memory.update(new)
+    return [b"".join(ids if None not in ids else [new[w] if x is None else x for w, x in zip(ws, ids, strict=True)]) for ws, ids in zip(words, found, strict=True)]
