@@ -173,6 +173,10 @@ TRAINING = """
 140 0.00  60 0.00  40 0.00  -1 0  0
   1 0.00  70 0.00   1 1.00  -1 0  0
  16 1.00   8 0.00  90 0.00  -1 0  0
+200 0.00   9 0.00   6 0.00  -1 0  0
+150 0.00   2 1.00   0 0.00  -1 0  0
+130 0.05 140 0.00 150 0.00  -1 0  0
+260 0.00  40 0.00   1 1.00  -1 0  0
   1 1.00   1 1.00   1 1.00   1 0  0
   2 1.00   2 1.00   3 1.00   1 0  0
   3 1.00   1 1.00   2 1.00   1 0  0
@@ -191,6 +195,9 @@ TRAINING = """
  30 0.00  60 0.00  22 0.10   0 0  1
  25 0.10  30 0.00  40 0.00   0 0  1
 150 0.00   2 1.00   6 0.00   0 0  1
+ 42 0.00  60 0.00   6 0.00   0 0  1
+ 52 0.00  47 0.00   0 0.00   0 0  1
+ 38 0.05  52 0.00   2 1.00   0 0  1
   8 0.00   6 0.00  45 0.00   0 1  1
   5 0.00  60 0.00  50 0.00   0 1  1
   2 0.00   1 1.00   2 1.00   0 1  0
