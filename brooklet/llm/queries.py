@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, language, media, ngram_join, quality, substring, token_files
+from . import bpe, html, language, media, ngram_join, quality, substring, token_files, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.op5(table(spark, sf_dir, "pages"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op6(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_language_profiles, op4_bpe_chunks, op5_main_text, op7_quality, op8_substring_dedup, op9_jaccard_join, op10_media_columns)}
+    return {f.__name__: f for f in (op2_token_files, op3_language_profiles, op4_bpe_chunks, op5_main_text, op6_warc, op7_quality, op8_substring_dedup, op9_jaccard_join, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
