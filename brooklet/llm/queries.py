@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, language, media, ngram_join, quality, substring, token_files, warc
+from . import bpe, decontamination, html, language, media, ngram_join, quality, substring, token_files, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.op10(table(spark, sf_dir, "documents"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op2(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_language_profiles, op4_bpe_chunks, op5_main_text, op6_warc, op7_quality, op8_substring_dedup, op9_jaccard_join, op10_media_columns)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_language_profiles, op4_bpe_chunks, op5_main_text, op6_warc, op7_quality, op8_substring_dedup, op9_jaccard_join, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
