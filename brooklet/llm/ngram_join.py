@@ -11,8 +11,8 @@
 3. Each tile is a star at first: its leader (the member that meets most others over all tiles, so the origin of near
    copies rather than one of them) is held against the members of other components. A hashed bitmap of each set bounds
    their overlap from above, and what remains is intersected exactly as sorted arrays. Components of the links follow
-   (large star, small star). Tiles still in several components try their next leader, STAR_ROUNDS in all.
-4. Tiles that are left are compared in full: cut into blocks of TILE_SETS sets, each pair of blocks one task's matter;
+   (large star, small star).
+4. Tiles still in several components are compared in full: cut into blocks of TILE_SETS sets, each pair of blocks one task's matter;
    bitmaps bound the overlap of pairs from different components, and exact intersections decide. So copies and near
    copies cost a few comparisons each, never all pairs of a group.
 
@@ -40,8 +40,6 @@ from .common import hashes, mixed, shingle_hashes, slices, stored, texts_as_byte
 BAND_GROWTH = 1.5
 #: Sets of a block in step 4, and signatures that a task holds before it passes them on.
 TILE_SETS, HELD_SIGNATURES = 1024, 3_000_000
-#: Leaders that a tile tries in step 3. More or fewer give the same components.
-STAR_ROUNDS = 3
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -248,24 +246,30 @@ def set_table(documents: DataFrame, members: DataFrame, classes: DataFrame, n: i
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs a, b that link: bounded by bitmaps first, then intersected exactly."""
+    """The pairs a, b that link: bounded by bitmaps first; the arrays of those that are left are intersected."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            keep = []
+            for size_a, map_a, size_b, map_b in zip(*(batch.column(c).to_pylist() for c in ("size_a", "bitmap_a", "size_b", "bitmap_b")), strict=True):
+                a, b = folded([map_a, map_b])
+                most = int(overlap_bound(a, b, size_a, size_b))
+                keep.append(den * most >= num * (size_a + size_b - most))
+            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             keep = []
-            for size_a, map_a, set_a, size_b, map_b, set_b in zip(*(batch.column(c).to_pylist() for c in ("size_a", "map_a", "set_a", "size_b", "map_b", "set_b")), strict=True):
-                total, maps = size_a + size_b, folded([map_a, map_b])
-                bound = int(overlap_bound(maps[0], maps[1], size_a, size_b))
-                if links := den * bound >= num * (total - bound):
-                    x, y = np.frombuffer(set_a, np.uint64), np.frombuffer(set_b, np.uint64)
-                    both = np.sort(np.concatenate((x, y)), kind="stable")
-                    shared = int((both[1:] == both[:-1]).sum())
-                    links = den * shared >= num * (total - shared)
-                keep.append(links)
+            for set_a, set_b in zip(*(batch.column(c).to_pylist() for c in ("shingles_a", "shingles_b")), strict=True):
+                both = np.sort(np.concatenate((np.frombuffer(set_a, np.uint64), np.frombuffer(set_b, np.uint64))), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(den * shared >= num * (len(both) - shared))
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bitmap").alias(f"map_{x}"), F.col("shingles").alias(f"set_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    side = lambda x, *columns: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    both = lambda p, *columns: p.join(side("a", *columns), "a").join(side("b", *columns), "b")
+    left = both(pairs, "size", "bitmap").mapInArrow(bound, "a long, b long")
+    return both(left, "shingles").mapInArrow(intersect, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -287,39 +291,32 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def ranked(members: DataFrame) -> DataFrame:
-    """tile, rank, node; rank orders the members of a tile: those that meet most others in all their tiles come last."""
+def stars(members: DataFrame) -> DataFrame:
+    """a, b: the leader of each tile with each other member. It is the member that meets most others over all its tiles."""
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    return members.join(weight, "node").select("tile", F.struct("weight", "node").alias("rank"), "node")
-
+    leaders = members.join(weight, "node").groupBy("tile").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    pairs = members.join(leaders, "tile").where("node <> leader")
+    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
-def unresolved(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """tile, rank, node, root, n of the tiles whose members lie in several components."""
-    known = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_tiles = known.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    return known.join(open_tiles.select("tile", "n"), "tile").select("tile", "rank", "node", "root", "n")
 
-
-def stars(rows: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The next leader of each open tile (tile, leader) and the pairs a, b of leaders and members of other components."""
-    left = rows if before is None else rows.join(before, "tile").where(F.col("rank") < F.col("leader")).drop("leader")
-    leaders = left.groupBy("tile").agg(F.max("rank").alias("leader"), F.max_by("root", "rank").alias("leading"))
-    pairs = rows.join(leaders, "tile").where(F.col("root") != F.col("leading"))
-    pairs = pairs.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
-    return leaders.select("tile", "leader"), pairs.distinct()
+def unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """tile, size, node, root of the tiles with three members or more that lie in several components."""
+    known = members.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_tiles = known.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return known.join(open_tiles.select("tile"), "tile").select("tile", "size", "node", "root")
 
 
 def block_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: pairs of open tiles that bitmaps let through, of different components."""
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / TILE_SETS).cast("int"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / TILE_SETS).cast("int"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    own = rows.withColumn("block", block).join(sets.select("node", "size", "bitmap"), "node")
+    own = rows.withColumn("block", block).join(sets.select("node", F.col("size").alias("n"), "bitmap"), "node")
     every = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = every.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "size", "bitmap")
+    placed = every.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "bitmap")
 
     def compare(key, t):
         i, j = key[1].as_py(), key[2].as_py()
-        node, root, size, block = (t.column(c).to_numpy() for c in ("node", "root", "size", "block"))
+        node, root, size, block = (t.column(c).to_numpy() for c in ("node", "root", "n", "block"))
         maps = folded(t.column("bitmap").to_pylist())
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found_a, found_b = [], []
@@ -342,25 +339,13 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, num: int = 85, de
     levels = Levels(num, den)
     nodes = stored(shingle_nodes(documents, shingle), "nodes")
     classes = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("representative"))
-    members = stored(ranked(tiles(documents, shingle, levels)), "tiles")
+    members = stored(tiles(documents, shingle, levels).distinct(), "tiles")
     sets = stored(set_table(documents, members, classes, shingle), "sets")
-    links, roots, leaders, rows = None, None, None, stored(unresolved(members, None), "open")
-    for step in range(STAR_ROUNDS + 1):
-        if step < STAR_ROUNDS:
-            leaders, pairs = stars(rows, leaders)
-            leaders = stored(leaders, "leaders")
-        else:
-            pairs = block_pairs(rows, sets, num, den)
-        found = stored(verified(pairs, sets, num, den), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            roots = stored(components(links), "roots")
-        if step < STAR_ROUNDS:
-            rows = stored(unresolved(rows.select("tile", "rank", "node"), roots), "open")
-            if rows.isEmpty():
-                break
-    if roots is None:
-        roots = members.select("node", F.col("node").alias("root")).distinct()
+    links = stored(verified(stars(members), sets, num, den), "links")
+    roots = stored(components(links), "roots")
+    more = stored(verified(block_pairs(stored(unresolved(members, roots), "open"), sets, num, den), sets, num, den), "links")
+    if not more.isEmpty():
+        roots = stored(components(links.union(more)), "roots")
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("representative").alias("component_id"))
     labels = named.join(least, "root").select("node", "component_id")
