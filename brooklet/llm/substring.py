@@ -403,36 +403,69 @@ def _kept(text: bytes, mask: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]]).lstrip() if out else b""
 
 
-def deduplicated(documents: DataFrame, window: int = WINDOW, hot: int = HOT_ANCHOR, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed and either the text that is kept (spacing and all) or kept_sha256 of the kept words joined by a blank."""
+def _spans_of(documents: DataFrame, window: int, hot: int) -> DataFrame:
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = covered_spans(pieces(documents, repeated_anchors(documents, window, hot), window, parts * 4), window, parts, parts * 4)
-    last = "text string" if with_text else "kept_sha256 string"
+    return covered_spans(pieces(documents, repeated_anchors(documents, window, hot), window, parts * 4), window, parts, parts * 4)
+
+
+def _gone(text: bytes, words: list[bytes], found: bytes | None) -> np.ndarray | None:
+    """Which words the spans cover; None if none."""
+    if not found:
+        return None
+    pairs = np.frombuffer(found, [(n, SPAN[n]) for n in SPAN.names if n != "key"])
+    pairs = pairs[pairs["copy"] == copy_of(text)]
+    if not len(pairs):
+        return None
+    step = np.zeros(len(words) + 1, np.int64)
+    np.add.at(step, pairs["from"], 1)
+    np.add.at(step, pairs["to"], -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def deduplicated(documents: DataFrame, window: int = WINDOW, hot: int = HOT_ANCHOR) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of the kept words joined by a blank."""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             rows = []
             for text, found in zip(texts_as_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
                 words = text.split()
-                kept, gone = words, None
-                if found:
-                    pairs = np.frombuffer(found, [(n, SPAN[n]) for n in SPAN.names if n != "key"])
-                    pairs = pairs[pairs["copy"] == copy_of(text)]
-                    step = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(step, pairs["from"], 1)
-                    np.add.at(step, pairs["to"], -1)
-                    gone = np.cumsum(step[:-1]) > 0
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                if with_text:
-                    end = (text if gone is None or not gone.any() else _kept(text, gone)).decode()
-                else:
-                    end = hashlib.sha256(b" ".join(kept)).hexdigest()
-                rows.append((len(words), len(words) - len(kept), end))
-            yield pa.record_batch([batch.column("key"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["key", "n_words", "n_removed", last.split()[0]])
+                gone = _gone(text, words, found)
+                kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            yield pa.record_batch([batch.column("key"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["key", "n_words", "n_removed", "kept_sha256"])
 
-    joined = keyed(documents).join(spans, "key", "left").mapInArrow(finish, f"key long, n_words long, n_removed long, {last}")
+    joined = keyed(documents).join(_spans_of(documents, window, hot), "key", "left").mapInArrow(finish, "key long, n_words long, n_removed long, kept_sha256 string")
     return joined.withColumn("key", F.nullif("key", F.lit(-(1 << 63)))).withColumnRenamed("key", "doc_id")
 
 
+def replaced(documents: DataFrame, window: int = WINDOW, hot: int = HOT_ANCHOR) -> DataFrame:
+    """The documents (doc_id, text, n_chars and any more columns) with what is left of their texts, spacing and all.
+
+    A text that loses all its words goes with its row; one that had none, or is null, stays.
+    """
+    spans = _spans_of(documents, window, hot).withColumnRenamed("key", "_key").withColumnRenamed("spans", "_spans")
+    joined = documents.join(spans, F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("_key"), "left").drop("_key")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            texts, keep, changed = batch.column("text").to_pylist(), np.ones(batch.num_rows, bool), False
+            for k, found in enumerate(batch.column("_spans").to_pylist()):
+                if found:
+                    data = texts[k].encode()
+                    gone = _gone(data, data.split(), found)
+                    if gone is not None:
+                        texts[k], keep[k], changed = _kept(data, gone).decode(), not gone.all(), True
+            out = batch.select(documents_columns)
+            if changed:
+                out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+                if "n_chars" in documents_columns:
+                    out = out.set_column(out.schema.get_field_index("n_chars"), "n_chars", pa.array([None if t is None else len(t) for t in texts], pa.int64()))
+            yield out.filter(pa.array(keep))
+
+    documents_columns = documents.columns
+    return joined.mapInArrow(finish, documents.schema)
+
+
 def op8(documents: DataFrame) -> DataFrame:
-    return deduplicated(documents, with_text=False)
+    return deduplicated(documents)
