@@ -10,7 +10,8 @@ from tempfile import mkdtemp
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a slice handed to numpy at once; bounds the memory of a task, whatever the Arrow batch size is.
 SLICE_ROWS = 512
@@ -138,3 +139,29 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
     return np.flatnonzero(new)
+
+
+#: Bits of a Bloom filter at most (8 MB): a bound on what is sent to the driver and to each task, whatever the number of keys.
+BLOOM_BITS = 1 << 26
+
+
+def bloom_hash(key: str) -> Column:
+    return F.xxhash64(key)
+
+
+def bloom_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter of the hashes of a column, with two bits a key in sixteen or more, up to BLOOM_BITS. Beyond that it lets more pass that it shouldn't."""
+    bits = min(BLOOM_BITS, max(1 << 12, 1 << (16 * keys.count()).bit_length()))
+    h = keys.select(bloom_hash(key).alias("h"))
+    places = h.select(F.explode(F.array(F.pmod("h", F.lit(bits)), F.pmod(F.shiftright("h", 32), F.lit(bits)))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("m")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bloom(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes (signed 64 bits) may be in the filter."""
+    bits = np.int64(len(bloom) * 64)
+    test = lambda p: (bloom[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return test(h % bits) & test((h >> np.int64(32)) % bits)

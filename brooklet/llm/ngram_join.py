@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, mixed, shingle_hashes, slices, stored, texts_as_bytes
+from .common import bloom_filter, bloom_hash, hashes, in_bloom, mixed, shingle_hashes, slices, stored, texts_as_bytes
 
 #: Growth of the size bands; any value of at least 1 / threshold gives the same links.
 BAND_GROWTH = 1.5
@@ -230,19 +230,25 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, size_a, size_b) -> np.ndarray:
 
 
 def set_table(documents: DataFrame, members: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """node, size, bitmap, shingles of the nodes in members, from one document each."""
-    wanted = members.select("node").distinct().join(classes.select("node", F.col("representative").alias("doc_id")), "node").select("doc_id").distinct()
+    """node, size, bitmap, shingles of the nodes in members, from one document each.
+
+    A Bloom filter of bounded size picks the documents, so no text is shuffled; what it lets through besides goes by the join.
+    """
+    nodes = members.select("node").distinct()
+    wanted = nodes.join(classes.select("node", F.col("representative").alias("doc_id")), "node").select("doc_id")
+    bloom = documents.sparkSession.sparkContext.broadcast(bloom_filter(stored(wanted, "wanted"), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
+            batch = batch.filter(pa.array(in_bloom(bloom.value, batch.column("h").to_numpy())))
             sets = [s for s in shingle_sets(texts_as_bytes(batch.column("text")), n) if len(s)]
             yield pa.record_batch([
                 pa.array([node_of(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()),
                 pa.array(map(bitmap, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
             ], ["node", "size", "bitmap", "shingles"])
 
-    found = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text")
-    return found.mapInArrow(run, "node long, size long, bitmap binary, shingles binary").dropDuplicates(["node"])
+    found = documents.select(bloom_hash("doc_id").alias("h"), "text").mapInArrow(run, "node long, size long, bitmap binary, shingles binary")
+    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
