@@ -18,7 +18,9 @@ get equal scores; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +35,7 @@ from .common import slices, texts_as_bytes
 from .language import remainder
 
 DIMENSIONS, NONZERO, HIDDEN, EPOCHS, RATE, DECAY = 48, 4, 16, 400, 0.02, 1e-3
-SAMPLE_ROWS, VOCABULARY, REACH = 2500, 20_000, 2
+SAMPLE_ROWS, VOCABULARY, REACH, STRETCH = 2500, 20_000, 2, 100_000
 #: Words whose vectors a Python worker remembers.
 MEMORY_WORDS = 300_000
 THRESHOLD = 0.3
@@ -67,21 +69,37 @@ def normalised(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(-1, keepdims=True)), 1e-9)
 
 
+def text_terms(text: bytes) -> Iterator[bytes]:
+    before = None
+    for w in text.split():
+        yield from terms(w)
+        if w == before:
+            yield AGAIN
+        before = w
+
+
 def context_vectors(texts: list[bytes]) -> dict[bytes, np.ndarray]:
-    """Random indexing over the sample."""
-    documents = [[t for w, before in zip(ws, [None, *ws], strict=False) for t in (*terms(w), *([AGAIN] if w == before else []))] for ws in (text.split() for text in texts)]
-    counts = Counter(t for d in documents for t in d)
-    names = [t for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]]
+    """Random indexing over the sample, STRETCH terms at a time."""
+    counts = Counter()
+    for text in texts:
+        counts.update(text_terms(text))
+    names = [t for t, _ in heapq.nsmallest(VOCABULARY, counts.items(), key=lambda x: (-x[1], x[0]))]
+    del counts
     number = {t: k for k, t in enumerate(names)}
+    none = len(names)
     index = np.array([index_vector(t) for t in names] + [np.zeros(DIMENSIONS)], np.float32)
-    gap = [len(names)] * REACH
-    flat = np.array([k for d in documents for k in ([number.get(t, len(names)) for t in d] + gap)] or gap, np.int64)
-    around = np.zeros((len(flat), DIMENSIONS), np.float32)
-    for step in range(1, REACH + 1):
-        around[step:] += index[flat[:-step]]
-        around[:-step] += index[flat[step:]]
-    total = np.stack([np.bincount(flat, around[:, k], len(names) + 1) for k in range(DIMENSIONS)], 1)[:-1]
-    return dict(zip(names, normalised(total).astype(np.float32), strict=True))
+    flat = array("i", [none] * REACH)
+    for text in texts:
+        flat.extend([number.get(t, none) for t in text_terms(text)])
+        flat.extend([none] * REACH)
+    flat = np.frombuffer(flat, np.int32)
+    total = np.zeros((none + 1, DIMENSIONS))
+    for at in range(REACH, len(flat) - REACH, STRETCH):
+        end = min(at + STRETCH, len(flat) - REACH)
+        around = sum(index[flat[at + s : end + s]] for s in range(-REACH, REACH + 1) if s)
+        for k in range(DIMENSIONS):
+            total[:, k] += np.bincount(flat[at:end], around[:, k], none + 1)
+    return dict(zip(names, normalised(total[:-1]).astype(np.float32), strict=True))
 
 
 class Pooler:
