@@ -23,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mixed, slices, texts_as_bytes
+from .common import caching, in_arrow, mixed, slices, texts_as_bytes, use_cache
 from .tokens import default_path, described, encoded, loaded
 
 #: One white space in CUT_ONE_IN ends a chunk.
 CUT_ONE_IN = 64
 #: Bytes of chunks that a Python worker remembers at most; then it starts afresh. Results do not depend on it.
-MEMORY_BYTES = 20_000_000
+MEMORY_BYTES = 10_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -124,9 +124,11 @@ class ChunkEncoder:
 
 
 _encoders: dict[str, ChunkEncoder] = {}
+caching("chunks", _encoders.clear)
 
 
 def encoder(path: str) -> ChunkEncoder:
+    use_cache("word ids", "chunks")
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
@@ -143,7 +145,7 @@ def encode_documents(documents: DataFrame, vocabulary: str | None = None) -> Dat
             ids = pa.array([np.frombuffer(b"".join([e.ids for e in entries]), np.int32) for entries, _ in got], pa.list_(pa.int32()))
             yield pa.record_batch([batch.column("doc_id"), ids, pa.array([own.decoded(entries) for entries, _ in got], pa.string()), pa.array([r for _, r in got], pa.int64())], ["doc_id", "ids", "decoded", "repaired_joins"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string, repaired_joins long")
+    return documents.select("doc_id", "text").transform(in_arrow, run, "doc_id long, ids array<int>, decoded string, repaired_joins long")
 
 
 def op4(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -159,4 +161,4 @@ def op4(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 rows.append((sum(len(e.ids) for e in entries) // 4, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(own.decoded(entries).encode()).hexdigest(), repaired))
             yield pa.record_batch([batch.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "repaired_joins"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, repaired_joins long")
+    return documents.select("doc_id", "text").transform(in_arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, repaired_joins long")

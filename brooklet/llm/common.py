@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from tempfile import mkdtemp
 
 import numpy as np
@@ -15,8 +18,10 @@ from pyspark.sql import functions as F
 
 #: Rows of a slice handed to numpy at once; bounds the memory of a task, whatever the Arrow batch size is.
 SLICE_ROWS = 512
+#: Rows of an Arrow batch between the JVM and a Python worker.
+BATCH_ROWS = 1024
 #: Words that a Python worker keeps in a cache at most. A full cache takes no more words; results stay the same.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +62,12 @@ def released(df: DataFrame) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
+def in_arrow(rows: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow with batches of BATCH_ROWS rows, which bounds what the JVM and a worker hold of long texts."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return rows.mapInArrow(function, schema)
+
+
 def texts_as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of each text; null gives b''."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -68,6 +79,27 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+_clearing: dict[str, Callable[[], None]] = {}
+_using = [""]
+
+
+def caching(name: str, clear: Callable[[], None]) -> None:
+    """Names a cache of this process, and what empties it."""
+    _clearing[name] = clear
+
+
+def use_cache(*names: str) -> None:
+    """Empties every other cache: a Python worker lives on from one operator to the next, and holds the caches of one at a time."""
+    if _using[0] != names:
+        _using[0] = names
+        for name, clear in _clearing.items():
+            if name not in names:
+                clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # glibc only: gives freed memory back to the system
+
+
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered for up to CACHE_WORDS words."""
 
@@ -79,9 +111,11 @@ class WordHashes(dict):
 
 
 WORDS = WordHashes()
+caching("words", WORDS.clear)
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
+    use_cache("words")
     return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
 
 
@@ -141,6 +175,14 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+#: Rows of a few numbers that may be broadcast: 16 MB or so. Every broadcast of such rows is behind a count; beyond it Spark joins by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(rows: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(rows) if count <= BROADCAST_ROWS else rows
+
+
 #: Bits of a Bloom filter at most (8 MB): a bound on what is sent to the driver and to each task, whatever the number of keys.
 BLOOM_BITS = 1 << 26
 
@@ -149,9 +191,9 @@ def bloom_hash(key: str) -> Column:
     return F.xxhash64(key)
 
 
-def bloom_filter(keys: DataFrame, key: str) -> np.ndarray:
+def bloom_filter(keys: DataFrame, key: str, count: int) -> np.ndarray:
     """A Bloom filter of the hashes of a column, with two bits a key in sixteen or more, up to BLOOM_BITS. Beyond that it lets more pass that it shouldn't."""
-    bits = min(BLOOM_BITS, max(1 << 12, 1 << (16 * keys.count()).bit_length()))
+    bits = min(BLOOM_BITS, max(1 << 12, 1 << (16 * count).bit_length()))
     h = keys.select(bloom_hash(key).alias("h"))
     places = h.select(F.explode(F.array(F.pmod("h", F.lit(bits)), F.pmod(F.shiftright("h", 32), F.lit(bits)))).alias("p"))
     words = places.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("m")).toArrow()

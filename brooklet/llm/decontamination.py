@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, slices, texts_as_bytes
+from .common import CACHE_WORDS, caching, in_arrow, slices, texts_as_bytes, use_cache
 
 #: Places that count are 1.
 MASKS = ("1110111", "11010000111", "11011011", "1111000101", "10101111")
@@ -53,6 +53,7 @@ class Tokens(dict):
 
 
 TOKENS = Tokens()
+caching("tokens", TOKENS.clear)
 
 
 def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +120,7 @@ class Index:
 
     def matches(self, texts: list[bytes]) -> dict[int, list[tuple[int, float, int, int]]]:
         """For each matching text (by its number): item, best share of a window, and the words from and to of all windows that match."""
+        use_cache("tokens")
         got = [tokens(t) for t in texts]
         flat = np.concatenate([g[0] for g in got]) if got else np.empty(0, np.uint64)
         ends = np.cumsum([len(g[0]) for g in got])
@@ -182,7 +184,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, block_bytes: int =
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [x.split()[0] for x in MATCH.split(", ")])
 
-        return documents.select("doc_id", "text").mapInArrow(run, MATCH)
+        return documents.select("doc_id", "text").transform(in_arrow, run, MATCH)
 
     parts = [found(index) for index in indexes(benchmark, block_bytes)]
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], MATCH)
@@ -200,6 +202,6 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, block_bytes: int
                 keep[list(shared.value.matches(texts_as_bytes(batch.column("text"))))] = False
                 yield batch.filter(pa.array(keep))
 
-        return rows.mapInArrow(run, rows.schema)
+        return rows.transform(in_arrow, run, rows.schema)
 
     return reduce(cleaned, indexes(benchmark, block_bytes), documents)

@@ -23,7 +23,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import in_arrow, slices
 
 #: Element names of the HTML standard.
 RAW = "script style textarea select button option noscript template svg math iframe object canvas audio video head title".split()
@@ -267,4 +267,4 @@ def op5(pages: DataFrame) -> DataFrame:
             texts = [main_text(h) for h in batch.column("html").to_pylist()]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").transform(in_arrow, run, "page_id long, url string, text string, n_chars long")

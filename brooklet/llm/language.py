@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_arrow, slices, use_cache
 
 PROFILE_GRAMS = 400
 #: Rows of each language to learn from; a documented bound of the fit.
@@ -107,7 +107,7 @@ def fitted(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, most: int = PROFILE_
                 names, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.record_batch([pa.array([language] * len(names), pa.string()), pa.array(names.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    summed = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    summed = sample.select("text", "lang").transform(in_arrow, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = (F.desc("n"), "gram")
     top = summed.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(32)))
     top = top.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= most)
@@ -123,12 +123,13 @@ def identified(documents: DataFrame, profiles: Profiles) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(profiles)  # at most MOST_LANGUAGES profiles of PROFILE_GRAMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache()
         own = shared.value
         for batch in slices(batches):
             got = [own.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), *(pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64())))], ["doc_id", "lang_pred", "score", "similarity"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, similarity double")
+    return documents.select("doc_id", "text").transform(in_arrow, run, "doc_id long, lang_pred string, score double, similarity double")
 
 
 def filtered(documents: DataFrame, profiles: Profiles, least: float = LEAST_SIMILARITY) -> DataFrame:
@@ -136,12 +137,13 @@ def filtered(documents: DataFrame, profiles: Profiles, least: float = LEAST_SIMI
     shared = documents.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache()
         own = shared.value
         for batch in slices(batches):
             keep = [(p := own.predict(t))[0] != UNDETERMINED and p[2] >= least for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.transform(in_arrow, run, documents.schema)
 
 
 def remainder(of: int) -> Column:

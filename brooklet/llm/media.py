@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, stored, texts_as_bytes
+from .common import in_arrow, slices, stored, texts_as_bytes
 
 PACKET, SYNC = 188, 0x47
 PAD_TO, UNIT_BYTES, GROUP = 192, 192 * 16, 16
@@ -224,7 +224,7 @@ def media_column(documents: DataFrame) -> DataFrame:
             media = [mux(x.ljust(max(1, -(-len(x) // PAD_TO)) * PAD_TO, b" ")) for x in texts]
             yield pa.record_batch([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return documents.select("doc_id", "text").mapInArrow(make, "doc_id long, n_bytes long, media binary")
+    return documents.select("doc_id", "text").transform(in_arrow, make, "doc_id long, n_bytes long, media binary")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, units long, random_access_pts array<long>"
@@ -248,7 +248,7 @@ def media_features(media: DataFrame) -> DataFrame:
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), *columns], [x.split()[0] for x in FEATURES.split(", ")])
 
-    return media.mapInArrow(read, FEATURES)
+    return media.transform(in_arrow, read, FEATURES)
 
 
 def op10(documents: DataFrame) -> DataFrame:

@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, bloom_hash, hashes, in_bloom, mixed, shingle_hashes, slices, stored, texts_as_bytes
+from .common import BROADCAST_ROWS, bloom_filter, bloom_hash, broadcast_if_small, hashes, in_arrow, in_bloom, mixed, shingle_hashes, slices, stored, texts_as_bytes
 
 #: Growth of the size bands; any value of at least 1 / threshold gives the same links.
 BAND_GROWTH = 1.5
 #: Sets of a block in step 4, and signatures that a task holds before it passes them on.
-TILE_SETS, HELD_SIGNATURES = 1024, 3_000_000
+TILE_SETS, HELD_SIGNATURES = 1024, 1_000_000
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -130,7 +130,7 @@ def shingle_nodes(documents: DataFrame, n: int) -> DataFrame:
             nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
             yield pa.record_batch([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), nodes], ["doc_id", "n_shingles", "node"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return documents.select("doc_id", "text").transform(in_arrow, run, "doc_id long, n_shingles long, node long")
 
 
 def tiles(documents: DataFrame, n: int, levels: Levels) -> DataFrame:
@@ -203,8 +203,8 @@ def tiles(documents: DataFrame, n: int, levels: Levels) -> DataFrame:
                 if rows.any():
                     yield pa.record_batch([pa.array(np.repeat(names, sizes)[rows]), pa.array(np.repeat(sizes, sizes)[rows]), pa.array(node[rows])], ["tile", "size", "node"])
 
-    dealt = documents.select("text").mapInArrow(deal, "bucket int, sigs binary, nodes binary")
-    return dealt.repartition(parts, "bucket").mapInArrow(meet, "tile long, size long, node long")
+    dealt = documents.select("text").transform(in_arrow, deal, "bucket int, sigs binary, nodes binary")
+    return dealt.repartition(parts, "bucket").transform(in_arrow, meet, "tile long, size long, node long")
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -232,27 +232,35 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, size_a, size_b) -> np.ndarray:
 def set_table(documents: DataFrame, members: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """node, size, bitmap, shingles of the nodes in members, from one document each.
 
-    A Bloom filter of bounded size picks the documents, so no text is shuffled; what it lets through besides goes by the join.
+    Few wanted documents are picked by a broadcast of their ids. Many pass a Bloom filter of bounded size, and what it
+    lets through besides goes by a join of the sets. Either way no text is shuffled.
     """
-    nodes = members.select("node").distinct()
-    wanted = nodes.join(classes.select("node", F.col("representative").alias("doc_id")), "node").select("doc_id")
-    bloom = documents.sparkSession.sparkContext.broadcast(bloom_filter(stored(wanted, "wanted"), "doc_id"))
+    wanted = stored(members.select("node").distinct().join(classes.select("node", F.col("representative").alias("doc_id")), "node"), "wanted")
+    count = wanted.count()
+    small = count <= BROADCAST_ROWS
+    rows = documents.select("doc_id", "text")
+    if small:
+        bloom = None
+        rows = rows.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")
+    else:
+        bloom = documents.sparkSession.sparkContext.broadcast(bloom_filter(wanted, "doc_id", count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            batch = batch.filter(pa.array(in_bloom(bloom.value, batch.column("h").to_numpy())))
-            sets = [s for s in shingle_sets(texts_as_bytes(batch.column("text")), n) if len(s)]
+            if bloom is not None:
+                batch = batch.filter(pa.array(in_bloom(bloom.value, batch.column("h").to_numpy())))
+            found = [(d, s) for d, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(texts_as_bytes(batch.column("text")), n), strict=True) if len(s)]
             yield pa.record_batch([
-                pa.array([node_of(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()),
-                pa.array(map(bitmap, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
-            ], ["node", "size", "bitmap", "shingles"])
+                pa.array([d for d, _ in found], pa.int64()), pa.array([node_of(s) for _, s in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()),
+                pa.array([bitmap(s) for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary()),
+            ], ["doc_id", "node", "size", "bitmap", "shingles"])
 
-    found = documents.select(bloom_hash("doc_id").alias("h"), "text").mapInArrow(run, "node long, size long, bitmap binary, shingles binary")
-    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    sets = rows.withColumn("h", bloom_hash("doc_id")).transform(in_arrow, run, "doc_id long, node long, size long, bitmap binary, shingles binary")
+    return sets.join(broadcast_if_small(wanted, count), ["node", "doc_id"], "left_semi").drop("doc_id")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs a, b that link: bounded by bitmaps first; the arrays of those that are left are intersected."""
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, bounded: bool = False) -> DataFrame:
+    """The pairs a, b that link: bounded by bitmaps first, unless they are already; the arrays of those that are left are intersected."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -272,10 +280,16 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 keep.append(den * shared >= num * (len(both) - shared))
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x, *columns: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-    both = lambda p, *columns: p.join(side("a", *columns), "a").join(side("b", *columns), "b")
-    left = both(pairs, "size", "bitmap").mapInArrow(bound, "a long, b long")
-    return both(left, "shingles").mapInArrow(intersect, "a long, b long")
+    def with_sides(p: DataFrame, *columns: str) -> DataFrame:
+        side = lambda x, rows: rows.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+        return p.join(side("a", sets), "a").join(side("b", sets), "b")
+
+    left = stored(pairs if bounded else with_sides(pairs, "size", "bitmap").transform(in_arrow, bound, "a long, b long"), "bounded")
+    count = left.count()
+    if count <= BROADCAST_ROWS:  # only the sets of these pairs are read on
+        nodes = F.broadcast(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        sets = stored(sets.join(nodes, "node", "left_semi"), "sets")
+    return with_sides(left, "shingles").transform(in_arrow, intersect, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -349,7 +363,7 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, num: int = 85, de
     sets = stored(set_table(documents, members, classes, shingle), "sets")
     links = stored(verified(stars(members), sets, num, den), "links")
     roots = stored(components(links), "roots")
-    more = stored(verified(block_pairs(stored(unresolved(members, roots), "open"), sets, num, den), sets, num, den), "links")
+    more = stored(verified(block_pairs(stored(unresolved(members, roots), "open"), sets, num, den), sets, num, den, bounded=True), "links")
     if not more.isEmpty():
         roots = stored(components(links.union(more)), "roots")
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

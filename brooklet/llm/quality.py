@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_as_bytes
+from .common import in_arrow, slices, texts_as_bytes
 from .language import remainder
 
 DIMENSIONS, NONZERO, HIDDEN, EPOCHS, RATE, DECAY = 48, 4, 16, 400, 0.02, 1e-3
 SAMPLE_ROWS, VOCABULARY, REACH, STRETCH = 2500, 20_000, 2, 100_000
 #: Words whose vectors a Python worker remembers.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 200_000
 THRESHOLD = 0.3
 #: The term of a word that repeats the one before it; no word gives it.
 AGAIN = b"\x00 again"
@@ -221,7 +221,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches):
             yield pa.record_batch([batch.column("doc_id"), pa.array(own.scores(pooler.pooled(texts_as_bytes(batch.column("text")))))], ["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return documents.select("doc_id", "text").transform(in_arrow, run, "doc_id long, score double")
 
 
 def op7(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, hashes, mixed, packed, runs, shingle_hashes, slices, slot_of, texts_as_bytes, unpacked
+from .common import PACKED, hashes, in_arrow, mixed, packed, runs, shingle_hashes, slices, slot_of, texts_as_bytes, unpacked
 
 WINDOW, ANCHOR_WORDS = 20, 6
 #: Pieces of an anchor that one task gathers at most; bounds its automaton to about 200 MB.
 HOT_ANCHOR = 16_384
-HELD_ANCHORS = 2_000_000
+HELD_ANCHORS = 1_000_000
 _HOT = np.uint32(1 << 31)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -282,8 +282,8 @@ def repeated_anchors(documents: DataFrame, window: int, hot: int) -> DataFrame:
             every = np.concatenate(found)
             yield from packed(every, slot_of(every["key"], buckets), buckets)
 
-    met = keyed(documents).mapInArrow(deal, PACKED).repartition(parts, "bucket").mapInArrow(meet, PACKED)
-    return met.repartition(parts, "bucket").mapInArrow(_by_key(PLACE, "places"), "key long, places binary")
+    met = keyed(documents).transform(in_arrow, deal, PACKED).repartition(parts, "bucket").mapInArrow(meet, PACKED)
+    return met.repartition(parts, "bucket").transform(in_arrow, _by_key(PLACE, "places"), "key long, places binary")
 
 
 #: kind 0: a piece's words (32 bits each); 1: SEEN records of a bucket to be compared; 2: SEEN records known to be covered.
@@ -341,7 +341,7 @@ def pieces(documents: DataFrame, repeated: DataFrame, window: int, buckets: int)
         if held:
             yield from flush()
 
-    return keyed(documents).join(repeated, "key").mapInArrow(cut, PIECE)
+    return keyed(documents).join(repeated, "key").transform(in_arrow, cut, PIECE)
 
 
 def covered_spans(found: DataFrame, window: int, parts: int, buckets: int) -> DataFrame:
@@ -390,7 +390,7 @@ def covered_spans(found: DataFrame, window: int, parts: int, buckets: int) -> Da
             yield from flush()
 
     ordered = found.repartition(parts, "anchor").sortWithinPartitions("kind", "anchor", "key", "start", "copy")
-    return ordered.mapInArrow(stream, PACKED).repartition(parts, "bucket").mapInArrow(_by_key(SPAN, "spans"), "key long, spans binary")
+    return ordered.transform(in_arrow, stream, PACKED).repartition(parts, "bucket").mapInArrow(_by_key(SPAN, "spans"), "key long, spans binary")
 
 
 def _kept(text: bytes, mask: np.ndarray) -> bytes:
@@ -435,7 +435,7 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, hot: int = HOT_ANCH
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.record_batch([batch.column("key"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["key", "n_words", "n_removed", "kept_sha256"])
 
-    joined = keyed(documents).join(_spans_of(documents, window, hot), "key", "left").mapInArrow(finish, "key long, n_words long, n_removed long, kept_sha256 string")
+    joined = keyed(documents).join(_spans_of(documents, window, hot), "key", "left").transform(in_arrow, finish, "key long, n_words long, n_removed long, kept_sha256 string")
     return joined.withColumn("key", F.nullif("key", F.lit(-(1 << 63)))).withColumnRenamed("key", "doc_id")
 
 
@@ -464,7 +464,7 @@ def replaced(documents: DataFrame, window: int = WINDOW, hot: int = HOT_ANCHOR)
             yield out.filter(pa.array(keep))
 
     documents_columns = documents.columns
-    return joined.mapInArrow(finish, documents.schema)
+    return joined.transform(in_arrow, finish, documents.schema)
 
 
 def op8(documents: DataFrame) -> DataFrame:

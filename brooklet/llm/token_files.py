@@ -26,7 +26,7 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import scratch, slices, stored, texts_as_bytes
+from .common import in_arrow, scratch, slices, stored, texts_as_bytes
 from .tokens import default_path, encoded
 
 MAGIC, BLOCK_IDS, PLANES, LEVEL = b"PLANES01", 1 << 16, 4, 3
@@ -150,7 +150,7 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str | None
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = documents.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    return stored(ordered.transform(in_arrow, write, MANIFEST), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(files, "path string, start long").repartitionByRange(len(files), "start")
-    return listed.mapInArrow(read, schema)
+    return listed.transform(in_arrow, read, schema)
 
 
 def op2(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:

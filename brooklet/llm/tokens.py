@@ -11,6 +11,8 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 
+from .common import caching, use_cache
+
 #: The default vocabulary; every operator takes another path as a parameter.
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers at most. A full memory takes no more words; results stay the same.
@@ -52,6 +54,7 @@ def described(path: str) -> tuple[bool, bool, bool]:
 
 
 _memory: dict[str, dict[bytes, bytes]] = {}
+caching("word ids", _memory.clear)
 _COMBINING = (b"\xcc", b"\xcd")
 
 
@@ -90,6 +93,7 @@ def _folded(text: bytes) -> bytes:
 
 def encoded(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each UTF-8 text as little-endian unsigned 32-bit integers, as the library's encode gives them without special tokens added."""
+    use_cache("word ids", "chunks")
     tokenizer = loaded(path)
     by_words, _, lower = described(path)
     if not by_words:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, stored
+from .common import in_arrow, scratch, slices, stored
 from .token_files import filesystem
 
 #: Payloads of fewer bytes are always written in full.
@@ -160,7 +160,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT_BYT
             close()
         yield pa.record_batch([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "bytes", "records"])
 
-    return stored(marked.mapInArrow(write, MANIFEST), "warc-manifest")
+    return stored(marked.transform(in_arrow, write, MANIFEST), "warc-manifest")
 
 
 def splits(manifest: DataFrame, split_bytes: int) -> DataFrame:
@@ -187,7 +187,7 @@ def record_chain(parts: DataFrame, split_bytes: int) -> DataFrame:
                 found = exits(candidates(data, begin, end, size, not path.endswith(".gz")), end)
                 yield pa.record_batch([pa.array([path] * len(found), pa.string()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["path", "offset", "exit"])
 
-    links = stored(parts.mapInArrow(scan, "path string, offset long, exit long"), "warc-links")
+    links = stored(parts.transform(in_arrow, scan, "path string, offset long, exit long"), "warc-links")
     entries = links.select("path", F.col("exit").alias("offset")).distinct().union(links.select("path", F.lit(0).cast("long")).distinct()).distinct()
     jumps = stored(links.join(entries, ["path", "offset"], "left_semi"), "warc-jumps")
     reached = jumps.where("offset = 0").select("path", "offset")
@@ -242,7 +242,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                 yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [x.split()[0] for x in RECORD.split(", ")])
 
     n = max(2, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return chain.repartition(n, "path", "offset").mapInArrow(read, RECORD)
+    return chain.repartition(n, "path", "offset").transform(in_arrow, read, RECORD)
 
 
 def op6(pages: DataFrame) -> DataFrame:
