@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import checkpointed
 from .functions import classify
 from .functions.entities import entities as entities_of
 from .functions.extraction import PATTERNS
@@ -281,7 +282,7 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a), g AS (SELECT a AS id, least(a, min(b)) AS root FROM r GROUP BY a),
         k AS (SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY length(id::VARCHAR) DESC, id DESC) = 1 AS kept FROM g) SELECT root, id, kept, max(CASE WHEN kept THEN id END) OVER (PARTITION BY root) AS kept_id FROM k""",
     )
-    q["consolidate_lsh"] = (lambda s, d: consolidate.components(consolidate.lsh_pairs(hash_embedded(memories(s, d)), 0.85, 128)), None)
+    q["consolidate_lsh"] = (lambda s, d: consolidate.components(consolidate.lsh_pairs(checkpointed(hash_embedded(memories(s, d))), 0.85, 128)), None)
     q["markdown_chunks"] = (lambda s, d: memories(s, d).select("id", F.posexplode(markdown_chunks(F.concat(F.lit("## "), F.col("source"), F.lit("\n"), F.col("content")))).alias("chunk", "content")), None)
     q["store_fold"] = (
         lambda s, d: fold(log(s, d)).select("id", "archived", "updated_at", "supersedes", "access_count", "last_accessed"),
