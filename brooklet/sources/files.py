@@ -10,14 +10,14 @@ from ..functions.markdown import markdown_chunks
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """position, content, source: the chunks of a file, or of every *.md below a folder; files in the order of their paths. A missing path raises, as any Spark source."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source"), F.posexplode(markdown_chunks(F.col("value"))).alias("chunk", "content"))
     return rows.select("path", "chunk", F.xxhash64("path").alias("file"), "content", "source")
 
 
 def conversation(spark: SparkSession, path: str) -> DataFrame:
     """run, message, role, content of a JSON file: a list of messages, or an object with such a list under `messages`."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("run"), F.col("value"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("run"), F.col("value"))
     kind = "array<struct<role:string,content:string>>"
     either = F.coalesce(F.when(F.ltrim("value").startswith("["), F.from_json("value", kind)), F.from_json("value", f"struct<messages:{kind}>")["messages"])
     return raw.select("run", F.posexplode(either).alias("message", "m")).select("run", "message", "m.role", "m.content")
