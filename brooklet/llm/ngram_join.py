@@ -280,16 +280,19 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, bounded: boo
                 keep.append(den * shared >= num * (len(both) - shared))
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def with_sides(p: DataFrame, *columns: str) -> DataFrame:
-        side = lambda x, rows: rows.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-        return p.join(side("a", sets), "a").join(side("b", sets), "b")
+    def with_sides(p: DataFrame, count: int, *columns: str) -> DataFrame:
+        side = lambda x: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+        return side("a").join(broadcast_if_small(p, count), "a").join(side("b"), "b")
 
-    left = stored(pairs if bounded else with_sides(pairs, "size", "bitmap").transform(in_arrow, bound, "a long, b long"), "bounded")
+    left = stored(pairs, "pairs")
     count = left.count()
+    if not bounded:
+        left = stored(with_sides(left, count, "size", "bitmap").transform(in_arrow, bound, "a long, b long"), "bounded")
+        count = left.count()
     if count <= BROADCAST_ROWS:  # only the sets of these pairs are read on
         nodes = F.broadcast(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         sets = stored(sets.join(nodes, "node", "left_semi"), "sets")
-    return with_sides(left, "shingles").transform(in_arrow, intersect, "a long, b long")
+    return with_sides(left, count, "shingles").transform(in_arrow, intersect, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
