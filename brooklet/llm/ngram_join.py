@@ -208,8 +208,8 @@ def tiles(documents: DataFrame, n: int, levels: Levels) -> DataFrame:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """A bit for each hash modulo the smallest power of two that is at least eight times the size."""
-    bits = max(64, 1 << (8 * len(shingles) - 1).bit_length())
+    """A bit for each hash modulo the smallest power of two that is at least four times the size."""
+    bits = max(64, 1 << (4 * len(shingles) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
