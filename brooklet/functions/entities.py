@@ -37,8 +37,10 @@ def entities(text: Column) -> Column:
     """array<struct<name, type>>: of each kind and name (any case) the first spelling, kinds in the order above."""
 
     def once(found: Column) -> Column:
-        lowered = F.transform(found, lambda x: F.lower(x["name"]))
-        return F.filter(found, lambda x, i: F.array_position(lowered, F.element_at(lowered, i + 1)) == i + 1)
+        both = F.struct(found.alias("found"), F.transform(found, lambda x: F.lower(x["name"])).alias("lowered"))
+        # bound by an outer lambda, so that the pattern is searched once and not for each name
+        kept = lambda s: F.filter(s["found"], lambda x, i: F.array_position(s["lowered"], F.element_at(s["lowered"], i + 1)) == i + 1)
+        return F.flatten(F.transform(F.array(both), kept))
 
     return F.concat(*(once(_found(text, *p)) for p in PATTERNS))
 

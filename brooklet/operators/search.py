@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions import classify
 from ..functions.text import accent_tables, search_tokens
 from ..functions.vectors import cosine, hash_embedded
@@ -73,7 +74,7 @@ def bm25(memories: DataFrame, queries: dict[int, str]) -> DataFrame:
     documents = document_tokens(memories)
     n, total = documents.agg(F.count("*"), F.sum("dl")).first()
     info = spark.createDataFrame([(q, k, p.in_and, sum(x.in_and for x in ps)) for q, ps in parsed.items() for k, p in enumerate(ps)], "query long, phrase int, in_and boolean, n_and int")
-    found = occurrences(documents, parsed)
+    found = checkpointed(occurrences(documents, parsed))  # what the queries match, read twice
     count = found.groupBy("query", "phrase").agg(F.count("*").alias("n_p"))
     idf = F.log((F.lit(float(n)) - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
     weights = info.join(count, ["query", "phrase"]).select("query", "phrase", "in_and", "n_and", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"))
