@@ -9,7 +9,7 @@ from .text import B0, B1, NS, S, W
 
 #: Kind, pattern and its group, in the order that decides which spelling comes first.
 PATTERNS = (
-    ("email", rf"{NS}+@{NS}+\.{NS}+", 0),
+    ("email", rf"(?<!{NS}){NS}+@{NS}+\.{NS}+", 0),  # it always begins with its word: no other start is tried
     ("url", rf"https?://{NS}+", 0),
     ("mention", rf"(?<![^ \t\n,;(\[])@{W}+", 0),
     ("hashtag", rf"#{W}+", 0),
@@ -37,10 +37,12 @@ def entities(text: Column) -> Column:
     """array<struct<name, type>>: of each kind and name (any case) the first spelling, kinds in the order above."""
 
     def once(found: Column) -> Column:
-        both = F.struct(found.alias("found"), F.transform(found, lambda x: F.lower(x["name"])).alias("lowered"))
         # bound by an outer lambda, so that the pattern is searched once and not for each name
-        kept = lambda s: F.filter(s["found"], lambda x, i: F.array_position(s["lowered"], F.element_at(s["lowered"], i + 1)) == i + 1)
-        return F.flatten(F.transform(F.array(both), kept))
+        def kept(names: Column) -> Column:
+            lowered = F.transform(names, lambda x: F.lower(x["name"]))
+            return F.filter(names, lambda x, i: F.array_position(lowered, F.lower(x["name"])) == i + 1)
+
+        return F.flatten(F.transform(F.array(found), kept))
 
     return F.concat(*(once(_found(text, *p)) for p in PATTERNS))
 
