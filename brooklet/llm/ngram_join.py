@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bloom_filter, bloom_hash, broadcast_if_small, hashes, in_arrow, in_bloom, mixed, shingle_hashes, slices, stored, texts_as_bytes
+from .common import BROADCAST_ROWS, bloom_filter, bloom_hash, broadcast_if_small, hashes, in_arrow, in_bloom, mixed, released, shingle_hashes, slices, stored, texts_as_bytes
 
 #: Growth of the size bands; any value of at least 1 / threshold gives the same links.
 BAND_GROWTH = 1.5
@@ -369,6 +369,8 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, num: int = 85, de
     more = stored(verified(block_pairs(stored(unresolved(members, roots), "open"), sets, num, den), sets, num, den, bounded=True), "links")
     if not more.isEmpty():
         roots = stored(components(links.union(more)), "roots")
+    released(sets)  # the largest tables; everything from here on reads stored labels
+    released(members)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("representative").alias("component_id"))
     labels = named.join(least, "root").select("node", "component_id")
