@@ -9,8 +9,8 @@ the whole corpus could be broadcast to no machine, so references and what is hel
 2. Pieces. The windows of one document that share a repeated anchor are a piece: W words and a few more. Pieces
    of an anchor go to one shard and are read there in the order of (doc_id, start). Each is streamed through the suffix
    automaton of the pieces before it; where the matching statistic is W or more, the window ending there is covered.
-   What isn't covered throughout is then inserted; in a piece that may repeat itself, insertion gives the statistic.
-   A piece equal to an earlier one is covered throughout.
+   A piece with a window that isn't known is then inserted, even if known windows around it cover all its words; in a
+   piece that may repeat itself, insertion gives the statistic. A piece equal to an earlier one is covered throughout.
 3. An anchor with more than HOT_ANCHOR occurrences (a line that a large part of the corpus shares) is never gathered in
    one task: its windows are told apart by hash; each task finds the first of equal windows in what it has read, and
    only these meet. The result is the same.
@@ -124,8 +124,9 @@ class Shard:
         for other in self.waiting:
             self.automaton.add(other)
         self.waiting.clear()
-        spans = self._spans(self.automaton.statistics(symbols))
-        if spans == [(0, size)]:
+        statistics = self.automaton.statistics(symbols)
+        spans = self._spans(statistics)
+        if min(statistics[self.window - 1 :]) >= self.window:  # every window is known; words may all be covered without that
             return spans
         if simple:
             self.waiting.append(symbols)

@@ -51,6 +51,19 @@ def test_substring_on_few_words(spark, seed):
         assert sorted(map(tuple, substring.deduplicated(d, 7, hot).collect())) == sorted(brute_removed(rows, 7))
 
 
+def test_substring_on_families_of_near_copies(spark):
+    """Edits 15 to 25 words apart: known windows cover all words of a piece while windows between them are new."""
+    r, rows = random.Random(1), []
+    for family in range(120):
+        base = [f"f{family}w{k}" for k in range(34 if family % 2 else 90)]
+        edits = [[25], [8], [], [5, 26]] if family % 2 else [list(np.cumsum([r.randrange(25), *(r.randint(15, 25) for _ in range(3))])) for _ in range(8)]
+        for places in edits:
+            rows.append((len(rows), " ".join(f"z{len(rows)}" if k in places else w for k, w in enumerate(base))))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (substring.HOT_ANCHOR, 3):
+        assert sorted(map(tuple, substring.deduplicated(d, hot=hot).collect())) == sorted(brute_removed(rows, 20))
+
+
 def test_substring_leaves_spacing_and_columns(spark, documents, rows):
     out = substring.replaced(documents, 20).toPandas()
     assert list(out.columns) == documents.columns and 2 not in set(out.doc_id) and {4, 5, 6, 7} <= set(out.doc_id.dropna())
