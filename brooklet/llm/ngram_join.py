@@ -233,12 +233,14 @@ def set_table(documents: DataFrame, members: DataFrame, classes: DataFrame, n: i
     """node, size, bitmap, shingles of the nodes in members, from one document each.
 
     Few wanted documents are picked by a broadcast of their ids. Many pass a Bloom filter of bounded size, and what it
-    lets through besides goes by a join of the sets. Either way no text is shuffled.
+    lets through besides goes by a join of the sets. Nodes whose rows all lack an id take their sets from those rows, by
+    node. No text is shuffled.
     """
     wanted = stored(members.select("node").distinct().join(classes.select("node", F.col("representative").alias("doc_id")), "node"), "wanted")
-    count = wanted.count()
+    count, named = wanted.agg(F.count("*"), F.count("doc_id")).first()
     small = count <= BROADCAST_ROWS
-    rows = documents.select("doc_id", "text")
+    every = documents.select("doc_id", "text")
+    rows = every.where("doc_id is not null")
     if small:
         bloom = None
         rows = rows.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")
@@ -247,7 +249,7 @@ def set_table(documents: DataFrame, members: DataFrame, classes: DataFrame, n: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            if bloom is not None:
+            if bloom is not None and "h" in batch.schema.names:
                 batch = batch.filter(pa.array(in_bloom(bloom.value, batch.column("h").to_numpy())))
             found = [(d, s) for d, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(texts_as_bytes(batch.column("text")), n), strict=True) if len(s)]
             yield pa.record_batch([
@@ -255,8 +257,14 @@ def set_table(documents: DataFrame, members: DataFrame, classes: DataFrame, n: i
                 pa.array([bitmap(s) for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary()),
             ], ["doc_id", "node", "size", "bitmap", "shingles"])
 
-    sets = rows.withColumn("h", bloom_hash("doc_id")).transform(in_arrow, run, "doc_id long, node long, size long, bitmap binary, shingles binary")
-    return sets.join(broadcast_if_small(wanted, count), ["node", "doc_id"], "left_semi").drop("doc_id")
+    schema = "doc_id long, node long, size long, bitmap binary, shingles binary"
+    sets = rows.withColumn("h", bloom_hash("doc_id")).transform(in_arrow, run, schema)
+    sets = sets.join(broadcast_if_small(wanted, count), ["node", "doc_id"], "left_semi").drop("doc_id")
+    if named == count:
+        return sets
+    nameless = wanted.where("doc_id is null").select("node")
+    own = every.where("doc_id is null").transform(in_arrow, run, schema).drop("doc_id")
+    return sets.unionByName(own.join(broadcast_if_small(nameless, count - named), "node", "left_semi").dropDuplicates(["node"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, bounded: bool = False) -> DataFrame:

@@ -162,6 +162,21 @@ def test_components_edges(documents, none, rows):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [ngram_join.BROADCAST_ROWS, 3])
+def test_components_bridged_by_null_ids(spark, monkeypatch, most):
+    """Near copies without an id link two documents that do not link with each other."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", most)
+    rows = []
+    for family in range(6):
+        base = prose(50 + family, 120).split()
+        left, right = (" ".join("zz" if k in places else w for k, w in enumerate(base)) for places in ((20, 40), (70, 90)))
+        rows += [(2 * family + 1, left), (None, " ".join(base)), (None, " ".join(base)), (2 * family + 2, right)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, ngram_join.jaccard_components(d).collect()), key=str)
+    assert got == sorted(brute_components(rows, 4, 85, 100), key=str)
+    assert all(c == 2 * ((i - 1) // 2) + 1 for i, _, c in got if i is not None)
+
+
 def test_bounds_and_bloom(spark):
     r = np.random.default_rng(1)
     for _ in range(50):
