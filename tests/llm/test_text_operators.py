@@ -207,5 +207,19 @@ def test_masks_find_substitutions():
     assert found >= 297
 
 
+def test_excerpts_cut_by_the_ends_of_a_document():
+    """15 to 19 tokens of an item that are a whole document, its end or its beginning; 14 are too few."""
+    item, other = prose(3, 40).split(), prose(99, 30).split()
+    index = decontamination.Index([(1, " ".join(item))])
+    for n in (14, 15, 17, 19):
+        texts = [item[10 : 10 + n], item[:n], item[-n:], other + item[:n], item[-n:] + other, other + item[10 : 10 + n] + other]
+        got = index.matches([" ".join(t).encode() for t in texts])
+        assert sorted(got) == (list(range(6)) if n >= 15 else [])
+        places = [(0, n), (0, n), (0, n), (30, 30 + n), (0, n), (30, 30 + n)]
+        for k, found in got.items():
+            ((_, share, begin, end),) = found
+            assert share >= n / 20 and begin <= places[k][0] and end >= places[k][1] and 0 <= begin and end <= len(texts[k])
+
+
 def test_scratch_is_shared(spark):
     assert scratch(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
