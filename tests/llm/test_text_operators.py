@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -221,5 +222,14 @@ def test_excerpts_cut_by_the_ends_of_a_document():
             assert share >= n / 20 and begin <= places[k][0] and end >= places[k][1] and 0 <= begin and end <= len(texts[k])
 
 
+@pytest.mark.parametrize("length", range(7, 21))
+def test_masks_leave_no_pattern_out(length):
+    """Every way of replacing a quarter of a window's tokens, by length of item."""
+    words = [f"w{k}" for k in range(length)]
+    index = decontamination.Index([(1, " ".join(words))])
+    texts = [" ".join("zzz" if k in gone else w for k, w in enumerate(words)).encode() for gone in combinations(range(length), length // 4)]
+    assert sorted(index.matches(texts)) == list(range(len(texts)))
+
+
 def test_scratch_is_shared(spark):
     assert scratch(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
