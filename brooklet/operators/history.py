@@ -5,31 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Versions of a chain at most, in each direction: a guard for the recursion; cycles end earlier.
-LONGEST_CHAIN = 1000
+from ..checkpoints import checkpointed
 
 
 def _walk(memories: DataFrame, start: DataFrame, forward: bool) -> DataFrame:
     """query, id, depth: the versions before (or after, one superseder a step: the smallest id) each start, depth 0 first.
 
-    A frontier of (query, id) pairs, a stated set and what it reaches, is joined with the links until it is empty.
+    Pointer jumping in checkpointed rounds: what each start reaches in fewer than 2^k steps, joined with the links of 2^k
+    steps, until a round reaches nothing new. So chains may have any length, and cycles end.
     """
     links = memories.where("supersedes is not null").select("id", "supersedes")
     if forward:
         links = links.groupBy("supersedes").agg(F.min("id").alias("to")).select(F.col("supersedes").alias("from"), "to")
     else:
         links = links.join(memories.select(F.col("id").alias("supersedes")), "supersedes").select(F.col("id").alias("from"), F.col("supersedes").alias("to"))
-    spark = memories.sparkSession
-    links.createOrReplaceTempView("_brooklet_links")
-    start.createOrReplaceTempView("_brooklet_start")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(query, id, depth, seen) AS (
-            SELECT query, id, 0, array(id) FROM _brooklet_start
-            UNION ALL
-            SELECT w.query, l.to, w.depth + 1, array_append(w.seen, l.to)
-            FROM walk w JOIN _brooklet_links l ON l.`from` = w.id
-            WHERE NOT array_contains(w.seen, l.to) AND w.depth < {LONGEST_CHAIN})
-        SELECT query, id, depth FROM walk""")
+    jumps = checkpointed(links.distinct())
+    reached = checkpointed(start.select("query", F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct())
+    count, steps = reached.count(), 1
+    while True:
+        further = reached.join(jumps, F.col("id") == F.col("from")).select("query", "start", F.col("to").alias("id"), (F.col("depth") + steps).alias("depth"))
+        reached = checkpointed(reached.union(further).groupBy("query", "start", "id").agg(F.min("depth").alias("depth")))
+        before, count = count, reached.count()
+        if count == before:
+            return reached.select("query", "id", "depth")
+        second = jumps.select(F.col("from").alias("to"), F.col("to").alias("end"))
+        jumps = checkpointed(jumps.join(second, "to").select("from", F.col("end").alias("to")).distinct())
+        steps *= 2
 
 
 def chain_members(memories: DataFrame, start: DataFrame) -> DataFrame:

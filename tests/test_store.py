@@ -167,3 +167,18 @@ def test_streams(spark, store, tmp_path):
         query.awaitTermination()
         got = spark.table(name).collect()
         assert len(got) == (2 if number == 0 else 1) and (number == 0 or got[0].n == 2)
+
+
+def test_history_of_long_chains_and_cycles(spark):
+    """A chain of 1500 versions is walked to its ends from anywhere in it; a cycle ends."""
+    from brooklet.operators import history as versions
+
+    n = 1500
+    rows = [(k, k - 1 if k else None, f"v{k}", "t", k < n - 1) for k in range(n)] + [(5000 + k, 5000 + (k + 1) % 3, "c", "t", False) for k in range(3)]
+    memories = spark.createDataFrame(rows, "id long, supersedes long, content string, created_at string, archived boolean")
+    ids = spark.createDataFrame([(1, n - 1), (2, 0), (3, 700), (4, 5001), (5, 9999)], "query long, id long")
+    got = {}
+    for r in versions.history(memories, ids).orderBy("query", "position").collect():
+        got.setdefault(r.query, []).append(r.id)
+    assert got.pop(4) and got == {q: list(range(n - 1, -1, -1)) for q in (1, 2, 3)}
+    assert versions.chain_members(memories, ids.where("query = 4")).count() == 3
