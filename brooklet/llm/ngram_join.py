@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import BROADCAST_ROWS, bloom_filter, bloom_hash, broadcast_if_small, hashes, in_arrow, in_bloom, mixed, released, shingle_hashes, slices, stored, texts_as_bytes
 
@@ -365,8 +366,19 @@ def block_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return placed.groupBy("tile", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def jaccard_components(documents: DataFrame, shingle: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; documents link if den * |A and B| >= num * |A or B|."""
+def with_nodes(documents: DataFrame, n: int) -> DataFrame:
+    """The rows with the node of each (null for an empty set) as _node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            nodes = pa.array([node_of(s) if len(s) else None for s in shingle_sets(texts_as_bytes(batch.column("text")), n)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*batch.schema.names, "_node"])
+
+    return documents.transform(in_arrow, run, StructType([*documents.schema.fields, StructField("_node", LongType())]))
+
+
+def labelled(documents: DataFrame, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, node of every row; and node, root, component_id (the least doc_id of its component) of every node."""
     levels = Levels(num, den)
     nodes = stored(shingle_nodes(documents, shingle), "nodes")
     classes = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("representative"))
@@ -381,5 +393,15 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, num: int = 85, de
     released(members)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("representative").alias("component_id"))
-    labels = named.join(least, "root").select("node", "component_id")
+    return nodes, named.join(least, "root").select("node", "root", "component_id")
+
+
+def components_of(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of what labelled() gives."""
+    labels = labels.select("node", "component_id")
     return nodes.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(documents: DataFrame, shingle: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; documents link if den * |A and B| >= num * |A or B|."""
+    return components_of(*labelled(documents, shingle, num, den))

@@ -26,16 +26,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest doc_id stays.
 
-    Repeated rows of that doc_id are one document, of which the row with the least text stays. Documents without words
-    are no duplicates of anything; rows without doc_id stay as they are.
+    Rows of one doc_id whose texts lie in different components are judged each by its own; of those in one component the
+    row with the least text stays. Documents without words are no duplicates of anything but rows of the same doc_id and
+    text; rows without doc_id stay as they are.
     """
-    found = ngram_join.jaccard_components(docs, SHINGLE, NUM, DEN)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    counted = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    nodes, labels = ngram_join.labelled(docs, SHINGLE, NUM, DEN)
+    kept = ngram_join.components_of(nodes, labels).where("doc_id = component_id").select("doc_id").distinct()
+    counted = stored(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    nameless = docs.where("doc_id is null")
+    if counted.isEmpty():
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(nameless)
     unique = docs.join(counted, "doc_id", "left_anti").join(kept, "doc_id", "left_semi")
-    columns = [c for c in docs.columns if c != "doc_id"]
-    repeated = docs.join(counted, "doc_id", "left_semi").join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*columns), "text").alias("row"))
-    return unique.unionByName(repeated.select("doc_id", "row.*")).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = labels.select(F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("component_id").alias("_least"))
+    repeated = ngram_join.with_nodes(docs.join(counted, "doc_id", "left_semi").select(docs.columns), SHINGLE).join(own, "_node", "left").where("_node is null or doc_id = _least")
+    repeated = repeated.groupBy("doc_id", "_root", F.when(F.col("_root").isNull(), F.col("text")).alias("_own")).agg(F.min(F.struct("text", *columns)).alias("row"))
+    return unique.unionByName(repeated.select("doc_id", "row.*")).unionByName(nameless).select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -273,6 +273,20 @@ def test_pipeline(spark, documents, rows, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == list(kept) + ["BPE encoding and decoding"]
 
 
+def test_rows_of_a_repeated_id_are_judged_by_their_own_texts(spark):
+    import corpus_pipeline
+
+    base, other = prose(21, 100), prose(22, 100)
+    near = lambda t: t + " tail"
+    third, fourth = prose(23, 100), prose(24, 100)
+    low, high = sorted((third, fourth))
+    rows = [(1, low), (2, near(low)), (2, high), (3, near(high)), (4, base), (4, near(base)), (4, other), (4, other), (5, None), (5, None), (6, ""), (6, other), (None, base), (7, "one")]
+    docs = spark.createDataFrame([(i, t, "en", "src", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    wanted = [(1, low), (2, high), (4, base), (4, other), (5, None), (6, ""), (None, base), (7, "one")]
+    assert got == sorted(((i, t, "en", "src", 9) for i, t in wanted), key=str)
+
+
 def test_registered(spark, small):
     import __spark_entry__ as entry
 
