@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brooklet.llm import html, ngram_join, substring, warc
+from brooklet.llm import ngram_join, substring, warc
 from brooklet.llm.common import bloom_filter, bloom_hash, in_bloom, scratch
 
 from .conftest import prose
@@ -227,31 +227,6 @@ def test_warc_gzip_is_standard_and_broken_chains_raise(spark, tmp_path):
         warc.read_archives(manifest)
 
 
-PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a></li></ul></nav>
-<div class="cookie-notice">We use cookies, many of them, and this text goes on for a while so that it looks like content to a counter of words.</div>
-<article><header><h1>Tom &amp; Jerry&nbsp;run</h1></header><p>One <a href="x>y">two</a>
-three.<p>Short.<blockquote>Quoted <b>bold</b></blockquote><aside>Side</aside><div class="ad">Buy now</div><form><label>Mail</label><input></form>
-<p>Last<br>line &lt;b&gt;.</p><section id="comments"><p>I like this article very much, it is the best one I have read in years, thanks to all of you.</p></section></article>
-<footer>&copy; x</footer><script>var a = "</p><p>not text</p>"</script></body>"""
-
-
-def test_main_text(spark, small):
-    assert html.main_text(PAGE) == "Tom & Jerry run\nOne two three.\nShort.\nQuoted bold\nLast line <b>."
-    assert [html.main_text(x) for x in (None, "", "<", "a < b", "<p", "<!-- x", "<script>x")] == ["", "", "", "", "", "", ""]
-    long = " ".join(["word"] * 150)
-    assert html.main_text(f"<div><a href=x>a</a></div><div>{long}</div><div><a href=y>b</a></div>") == long
-    assert html.main_text("<article>" + "<p>x</p>" * 3000 + "</article>").count("\n") == 2999
-    rows = [(1, "u", PAGE, "t"), (2, None, None, None), (2, None, "", ""), (None, "u", "<article>é 😀</article>", "")]
-    got = html.op5(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
-    assert sorted((r.n_chars, r.text) for r in got) == sorted((len(t), t) for t in (html.main_text(PAGE), "", "", "é 😀"))
-    assert html.op5(spark.read.parquet(f"{small}/pages.parquet").where("false")).count() == 0
-
-
-def test_tree_is_fitted_to_its_table():
-    rows = [tuple(map(float, x.split())) for x in html.TRAINING.strip().splitlines()]
-    assert sum(html.is_content(html.tree(), r[:-1]) == r[-1] for r in rows) >= 0.97 * len(rows)
-
-
 def test_pipeline(spark, documents, rows, tmp_path):
     import corpus_pipeline
 
