@@ -62,12 +62,40 @@ def released(df: DataFrame) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
+class Tables:
+    """Tables stored on the way to a result."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(stored(df, name))
+        return self.made[-1]
+
+    def release(self, *some: DataFrame) -> None:
+        """Deletes the files of some, or of all."""
+        for df in some or tuple(self.made):
+            released(df)
+            self.made = [x for x in self.made if x is not df]
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def in_arrow(rows: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow with batches of BATCH_ROWS rows, which bounds what the JVM and a worker hold of long texts."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """mapInArrow with batches of BATCH_ROWS rows, which bounds what the JVM and a worker hold of long texts.
+
+    The size is a setting of the session, read when a plan runs; a session that has its own, smaller or larger, keeps it.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(ARROW_ROWS) == _SPARK_ARROW_ROWS:
+        conf.set(ARROW_ROWS, BATCH_ROWS)
     return rows.mapInArrow(function, schema)
 
 
+_SPARK_ARROW_ROWS = "10000"
+
+
 def texts_as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of each text; null gives b''."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -4,10 +4,13 @@
    copies are one node from the start, however many there are.
 2. Tiles. Sizes are cut into bands; the level of a band holds the sets of the band and those just above it that a set of
    the band may link with. Linked sets of a level differ in H shingles at most, so if the space of hashes is cut into
-   k > H cells, at least k - H cells hold the same shingles in both. Each set gives one signature for each cell that
-   isn't empty, and one common signature if k - H of its cells or more are empty (then the equal cells may all be empty,
-   in either set). Sets that share a signature meet in a tile; no linked pair is missed. Signatures go through the
-   shuffle as packed arrays, twelve bytes each.
+   k > H cells, at least k - H cells hold the same shingles in both. Each set gives a signature for each cell that isn't
+   empty. Two linked sets share one, unless all the equal cells are empty in both, so that both have k - H empty cells or
+   more. Sets with so many give the signatures of a second, independent cut besides, those again with too many in that of
+   a third, and so on for TURNS cuts, after which a set would give a common signature (no set is known to get there: each
+   cut leaves a fiftieth of the sets or less to the next). k is such that this costs least. Sets that share a signature meet in a tile; no
+   linked pair is missed, and no tile gathers sets for having empty cells only. Signatures go through the shuffle as packed
+   arrays, twelve bytes each.
 3. Each tile is a star at first: its leader (the member that meets most others over all tiles, so the origin of near
    copies rather than one of them) is held against the members of other components. A hashed bitmap of each set bounds
    their overlap from above, and what remains is intersected exactly as sorted arrays. Components of the links follow
@@ -20,7 +23,9 @@ Shingles are compared by 64-bit hashes, nodes too: two sets of different shingle
 about the square of their number over 2^65.
 
 Defined results: null texts, empty texts and texts of white space have no shingle, no link, and themselves as
-component; rows with equal doc_id are rows of their own; extra columns are ignored; an empty table gives no rows.
+component; rows with equal doc_id are rows of their own; rows without doc_id link and bridge like any other, but give no
+component its name: a component of such rows only has a null name; extra columns are ignored, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BROADCAST_ROWS, bloom_filter, bloom_hash, broadcast_if_small, hashes, in_arrow, in_bloom, mixed, released, shingle_hashes, slices, stored, texts_as_bytes
+from .common import BROADCAST_ROWS, Tables, bloom_filter, bloom_hash, broadcast_if_small, hashes, in_arrow, in_bloom, mixed, shingle_hashes, slices, stored, texts_as_bytes
 
 #: Growth of the size bands; any value of at least 1 / threshold gives the same links.
 BAND_GROWTH = 1.5
 #: Sets of a block in step 4, and signatures that a task holds before it passes them on.
 TILE_SETS, HELD_SIGNATURES = 1024, 1_000_000
+#: Independent cuts into cells at most.
+TURNS = 24
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -97,7 +105,17 @@ class Levels:
         """Cells and the largest difference H of linked sets of a level; the smaller one is in the level's band."""
         a = self.edge(level + 1) - 1
         most = self.differing(a, a * self.den // self.num)
-        return most + 2 + -(-most * 6 // 100), most
+        n = max(self.edge(level), 4)  # the smallest sets have the most empty cells
+
+        def signatures_of(k: int) -> float:
+            """Expected of a set of n, with those of further cuts: n shingles leave k * share cells empty."""
+            share = (1 - 1 / k) ** n
+            spread = k * share + k * (k - 1) * (1 - 2 / k) ** n - (k * share) ** 2
+            again = erfc((k - k * share - most - 0.5) / sqrt(2 * max(spread, 1e-9))) / 2
+            return (k - k * share) / max(1 - again, 1e-6)
+
+        few = max(2, most + 1)
+        return min({*range(few, few + 40), *(few + few * x // 50 for x in range(600))}, key=lambda k: (signatures_of(k), k)), most
 
     @lru_cache(maxsize=100_000)  # noqa: B019
     def of(self, size: int) -> tuple[int, ...]:
@@ -113,11 +131,18 @@ def signatures(shingles: np.ndarray, levels: Levels) -> np.ndarray:
     out = []
     for level in levels.of(len(shingles)):
         k, most = levels.cells(level)
-        cell = ((shingles >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        sums = np.add.reduceat(mixed(shingles), first)
-        out.append(mixed(sums + mixed(cell[first] + np.uint64(level + 1 << 40))))
-        if k - len(first) >= k - most:
+        for turn in range(TURNS):
+            name = np.uint64((level + 1 << 40) + (turn << 32))
+            own = mixed(shingles + name) if turn else shingles
+            cell = ((own >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+            if turn:
+                order = np.argsort(cell, kind="stable")
+                own, cell = own[order], cell[order]
+            first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            out.append(mixed(np.add.reduceat(mixed(own), first) + mixed(cell[first] + name)))
+            if len(first) > most:
+                break
+        else:
             out.append(mixed(np.array([(level + 1 << 40) - 1], np.uint64)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -230,14 +255,14 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, size_a, size_b) -> np.ndarray:
     return np.minimum(size_a - np.bitwise_count(a & ~b).sum(-1, dtype=np.int64), size_b - np.bitwise_count(b & ~a).sum(-1, dtype=np.int64))
 
 
-def set_table(documents: DataFrame, members: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+def set_table(documents: DataFrame, members: DataFrame, classes: DataFrame, n: int, tables: Tables) -> DataFrame:
     """node, size, bitmap, shingles of the nodes in members, from one document each.
 
     Few wanted documents are picked by a broadcast of their ids. Many pass a Bloom filter of bounded size, and what it
     lets through besides goes by a join of the sets. Nodes whose rows all lack an id take their sets from those rows, by
     node. No text is shuffled.
     """
-    wanted = stored(members.select("node").distinct().join(classes.select("node", F.col("representative").alias("doc_id")), "node"), "wanted")
+    wanted = tables.stored(members.select("node").distinct().join(classes.select("node", F.col("representative").alias("doc_id")), "node"), "wanted")
     count, named = wanted.agg(F.count("*"), F.count("doc_id")).first()
     small = count <= BROADCAST_ROWS
     every = documents.select("doc_id", "text")
@@ -268,8 +293,8 @@ def set_table(documents: DataFrame, members: DataFrame, classes: DataFrame, n: i
     return sets.unionByName(own.join(broadcast_if_small(nameless, count - named), "node", "left_semi").dropDuplicates(["node"]))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, bounded: bool = False) -> DataFrame:
-    """The pairs a, b that link: bounded by bitmaps first, unless they are already; the arrays of those that are left are intersected."""
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, tables: Tables, bounded: bool = False) -> DataFrame:
+    """The pairs a, b that link, stored: bounded by bitmaps first, unless they are already; the arrays of those that are left are intersected."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -293,20 +318,24 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, bounded: boo
         side = lambda x: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
         return side("a").join(broadcast_if_small(p, count), "a").join(side("b"), "b")
 
-    left = stored(pairs, "pairs")
+    own = Tables()
+    left = own.stored(pairs, "pairs")
     count = left.count()
     if not bounded:
-        left = stored(with_sides(left, count, "size", "bitmap").transform(in_arrow, bound, "a long, b long"), "bounded")
+        left = own.stored(with_sides(left, count, "size", "bitmap").transform(in_arrow, bound, "a long, b long"), "bounded")
         count = left.count()
     if count <= BROADCAST_ROWS:  # only the sets of these pairs are read on
         nodes = F.broadcast(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        sets = stored(sets.join(nodes, "node", "left_semi"), "sets")
-    return with_sides(left, count, "shingles").transform(in_arrow, intersect, "a long, b long")
+        sets = own.stored(sets.join(nodes, "node", "left_semi"), "sets")
+    links = tables.stored(with_sides(left, count, "shingles").transform(in_arrow, intersect, "a long, b long"), "links")
+    own.release()
+    return links
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root of every node in links (a, b): the smallest node of its component, by large-star and small-star rounds."""
-    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+def components(links: DataFrame, tables: Tables) -> DataFrame:
+    """node, root of every node in links (a, b), stored: the smallest node of its component, by large-star and small-star rounds."""
+    own = Tables()
+    edges = own.stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     state = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -315,12 +344,16 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = stored(small, "edges")
+        before, edges = edges, own.stored(small, "edges")
+        own.release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")))
+    roots = tables.stored(both.distinct(), "roots")
+    own.release()
+    return roots
 
 
 def stars(members: DataFrame) -> DataFrame:
@@ -382,15 +415,15 @@ def labelled(documents: DataFrame, shingle: int, num: int, den: int) -> tuple[Da
     levels = Levels(num, den)
     nodes = stored(shingle_nodes(documents, shingle), "nodes")
     classes = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("representative"))
-    members = stored(tiles(documents, shingle, levels).distinct(), "tiles")
-    sets = stored(set_table(documents, members, classes, shingle), "sets")
-    links = stored(verified(stars(members), sets, num, den), "links")
-    roots = stored(components(links), "roots")
-    more = stored(verified(block_pairs(stored(unresolved(members, roots), "open"), sets, num, den), sets, num, den, bounded=True), "links")
+    tables, ends = Tables(), Tables()
+    members = tables.stored(tiles(documents, shingle, levels).distinct(), "tiles")
+    sets = tables.stored(set_table(documents, members, classes, shingle, tables), "sets")
+    links = verified(stars(members), sets, num, den, tables)
+    roots = components(links, ends)
+    more = verified(block_pairs(tables.stored(unresolved(members, roots), "open"), sets, num, den), sets, num, den, tables, bounded=True)
     if not more.isEmpty():
-        roots = stored(components(links.union(more)), "roots")
-    released(sets)  # the largest tables; everything from here on reads stored labels
-    released(members)
+        roots = components(links.union(more), ends)
+    tables.release()  # everything from here on reads nodes and roots
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("representative").alias("component_id"))
     return nodes, named.join(least, "root").select("node", "root", "component_id")

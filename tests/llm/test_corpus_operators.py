@@ -3,7 +3,7 @@
 import base64
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -267,3 +267,20 @@ def test_registered(spark, small):
 
     names = list(entry.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+
+
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100), (70, 100)])
+def test_few_unrelated_sets_share_a_signature(num, den):
+    """Unrelated sets of any size meet next to never, and linked sets always do."""
+    levels, r = ngram_join.Levels(num, den), np.random.default_rng(3)
+    made = lambda n: np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+    for size in (6, 12, 40, 60, 134, 430, 1500):
+        seen = Counter()
+        for _ in range(400):
+            seen.update(set(ngram_join.signatures(made(size), levels).tolist()))
+        assert max(seen.values()) == 1
+        for _ in range(60):
+            a = made(size)
+            both = -(-size * 2 * num // (num + den))  # the least overlap of two linked sets of this size
+            b = np.sort(np.concatenate((r.permutation(a)[:both], made(size - both))))
+            assert set(ngram_join.signatures(a, levels).tolist()) & set(ngram_join.signatures(b, levels).tolist())
