@@ -11,15 +11,18 @@ the whole corpus could be broadcast to no machine, so references and what is hel
    automaton of the pieces before it; where the matching statistic is W or more, the window ending there is covered.
    A piece with a window that isn't known is then inserted, even if known windows around it cover all its words; in a
    piece that may repeat itself, insertion gives the statistic. A piece equal to an earlier one is covered throughout.
-3. An anchor with more than HOT_ANCHOR occurrences (a line that a large part of the corpus shares) is never gathered in
-   one task: its windows are told apart by hash; each task finds the first of equal windows in what it has read, and
-   only these meet. The result is the same.
+3. An anchor with more than HOT_ANCHOR occurrences (a line that a large part of the corpus shares, or a text with
+   thousands of copies) is never gathered in one task: its windows are told apart by hash; each task finds the first of
+   equal windows in what it has read, and only these meet. The result is the same. An anchor that one task meets
+   OFTEN times in a million is taken for such a one from the start, so its places are not gathered to be counted either.
 
-Words are compared by hash: 32 bits each in a piece (64 bits a window), 20 words at least that all agree.
+Words in pieces are compared by 48-bit hashes, 20 of which in a row must agree: two windows that differ in one word are
+taken for equal with a probability of 2^-48. Windows of hot anchors go by 64-bit hashes.
 
 Defined results: null, empty and white-space texts have no words; texts shorter than W words lose none; rows of equal
-doc_id count as one document (of equal starts in different texts the one with the smaller text hash is first; repeated
-rows lose nothing to each other); a null doc_id comes before all others; extra columns are ignored; an empty table gives no rows.
+doc_id are ordered by the start of the window and then by a hash of the text (rows of equal doc_id and text are told
+apart by nothing, and keep or lose the same words); a null doc_id counts as the least integer; extra columns are ignored
+(`deduplicated`) or kept (`replaced`), whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,9 +40,12 @@ from pyspark.sql import functions as F
 from .common import PACKED, hashes, in_arrow, mixed, packed, runs, shingle_hashes, slices, slot_of, texts_as_bytes, unpacked
 
 WINDOW, ANCHOR_WORDS = 20, 6
-#: Pieces of an anchor that one task gathers at most; bounds its automaton to about 200 MB.
-HOT_ANCHOR = 16_384
-HELD_ANCHORS = 1_000_000
+#: Occurrences of an anchor whose pieces one task gathers at most; bounds its automaton to some 10 MB.
+HOT_ANCHOR = 1024
+#: Anchors that a task holds before it passes them on, and how often one of these must be among them to be hot for that alone.
+HELD_ANCHORS, OFTEN = 1_000_000, 64
+#: Bytes of a word's hash in a piece.
+WORD_BYTES = 6
 _HOT = np.uint32(1 << 31)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -110,10 +116,12 @@ class Shard:
 
     def take(self, piece: bytes) -> list[tuple[int, int]]:
         """Takes a piece in; spans of its words that windows before it, or starting earlier in it, cover."""
-        size = len(piece) // 4
+        size = len(piece) // WORD_BYTES
         if piece in self.whole:
             return [(0, size)]
-        symbols = np.frombuffer(piece, np.uint32).tolist()
+        wide = np.zeros((size, 8), np.uint8)
+        wide[:, :WORD_BYTES] = np.frombuffer(piece, np.uint8).reshape(-1, WORD_BYTES)
+        symbols = wide.view("<u8").ravel().tolist()
         simple = len(set(symbols)) > size - self.window  # then no window occurs twice in the piece
         self.whole.add(piece)
         if simple and len(self.whole) == 1:
@@ -198,14 +206,23 @@ def record(dtype: np.dtype, *columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def joined(seen: np.ndarray, window: int) -> np.ndarray:
+    """SPAN records of the words that SEEN windows cover; windows that start one word after another are one span."""
+    seen = seen[np.lexsort((seen["start"], seen["copy"], seen["key"]))]
+    start = seen["start"].astype(np.int64)
+    first = runs(seen["key"], seen["copy"], start - np.arange(len(seen)))
+    last = np.append(first[1:], len(seen)) - 1
+    return record(SPAN, seen["key"][first], seen["copy"][first], start[first], start[last] + window)
+
+
 def copy_of(text: bytes) -> int:
     """Tells texts of equal doc_id apart."""
     return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "big", signed=True)
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """key (doc_id, or the least integer for null) and text."""
-    return documents.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text")
+    """doc_id, key (doc_id, or the least integer for null) and text."""
+    return documents.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text")
 
 
 def _by_key(dtype: np.dtype, column: str):
@@ -225,7 +242,7 @@ def _by_key(dtype: np.dtype, column: str):
 def repeated_anchors(documents: DataFrame, window: int, hot: int) -> DataFrame:
     """key, places: where in each document repeated anchors are (words from its start; the highest bit is set for a hot anchor)."""
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = parts * 4
+    buckets, often = parts * 4, min(hot, OFTEN)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -237,11 +254,11 @@ def repeated_anchors(documents: DataFrame, window: int, hot: int) -> DataFrame:
             name, key, place = name[order], key[order], place[order]
             first = runs(name)
             sizes = np.diff(np.append(first, len(name)))
-            frequent = np.repeat(sizes > hot, sizes)
+            frequent = np.repeat(sizes > often, sizes)
             if frequent.any():  # known to be hot: places pass by under a name of their own, a mark of each anchor goes to its bucket
                 direct = record(ANCHOR, np.zeros(frequent.sum()), key[frequent], place[frequent] | _HOT)
                 yield from packed(direct, np.uint64(buckets) + slot_of(direct["key"], buckets), 2 * buckets)
-                marks = first[sizes > hot]
+                marks = first[sizes > often]
                 name, key, place = np.concatenate((name[~frequent], name[marks])), np.concatenate((key[~frequent], key[marks])), np.concatenate((place[~frequent], np.full(len(marks), _HOT)))
             slot = ((name >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             yield from packed(record(ANCHOR, name & np.uint64(0xFFFFFFFF), key, place), slot, buckets)
@@ -283,11 +300,11 @@ def repeated_anchors(documents: DataFrame, window: int, hot: int) -> DataFrame:
             every = np.concatenate(found)
             yield from packed(every, slot_of(every["key"], buckets), buckets)
 
-    met = keyed(documents).transform(in_arrow, deal, PACKED).repartition(parts, "bucket").mapInArrow(meet, PACKED)
+    met = keyed(documents).drop("doc_id").transform(in_arrow, deal, PACKED).repartition(parts, "bucket").mapInArrow(meet, PACKED)
     return met.repartition(parts, "bucket").transform(in_arrow, _by_key(PLACE, "places"), "key long, places binary")
 
 
-#: kind 0: a piece's words (32 bits each); 1: SEEN records of a bucket to be compared; 2: SEEN records known to be covered.
+#: kind 0: a piece's words (WORD_BYTES each); 1: SEEN records of a bucket to be compared; 2: SPAN records known to be covered.
 PIECE = "kind int, anchor long, key long, start int, copy int, words binary"
 
 
@@ -310,7 +327,8 @@ def pieces(documents: DataFrame, repeated: DataFrame, window: int, buckets: int)
             first = runs(seen["window"])
             least = np.repeat(seen[first], np.diff(np.append(first, len(seen))))
             later = (seen["key"] != least["key"]) | (seen["start"] != least["start"]) | (seen["copy"] != least["copy"])
-            yield from blocks(packed(seen[later], slot_of(seen["key"][later], buckets), buckets), 2)
+            covered = joined(seen[later], window)
+            yield from blocks(packed(covered, slot_of(covered["key"], buckets), buckets), 2)
             yield from blocks(packed(seen[~later], slot_of(seen["window"][~later].view(np.int64), buckets), buckets), 1)
 
         for batch in slices(batches, 256):
@@ -322,7 +340,7 @@ def pieces(documents: DataFrame, repeated: DataFrame, window: int, buckets: int)
             state[at] = 1
             state[at[np.concatenate(marks) >= _HOT]] = 2
             keys, copies = batch.column("key").to_numpy(), np.array([copy_of(t) for t in texts], np.int32)
-            small = (a.flat & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            small = a.flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
             cold = np.flatnonzero(state[a.place] == 1)
             text, first, last = a.text[cold], a.first[cold], a.last[cold]
             words = [small[x : y + window].tobytes() for x, y in zip(first.tolist(), last.tolist(), strict=True)]
@@ -342,7 +360,7 @@ def pieces(documents: DataFrame, repeated: DataFrame, window: int, buckets: int)
         if held:
             yield from flush()
 
-    return keyed(documents).join(repeated, "key").transform(in_arrow, cut, PIECE)
+    return keyed(documents).drop("doc_id").join(repeated, "key").transform(in_arrow, cut, PIECE)
 
 
 def covered_spans(found: DataFrame, window: int, parts: int, buckets: int) -> DataFrame:
@@ -354,9 +372,6 @@ def covered_spans(found: DataFrame, window: int, parts: int, buckets: int) -> Da
         held: list[np.ndarray] = []
         count = 0
 
-        def seen_spans(seen: np.ndarray) -> np.ndarray:
-            return record(SPAN, seen["key"], seen["copy"], seen["start"], seen["start"] + np.uint32(window))
-
         def flush() -> Iterator[pa.RecordBatch]:
             every = np.concatenate(held)
             yield from packed(every, slot_of(every["key"], buckets), buckets)
@@ -369,7 +384,7 @@ def covered_spans(found: DataFrame, window: int, parts: int, buckets: int) -> Da
                     to_compare[anchor].append(piece)
                     continue
                 if kind == 2:
-                    held.append(seen_spans(np.frombuffer(piece, SEEN)))
+                    held.append(np.frombuffer(piece, SPAN))
                     continue
                 if anchor != current:
                     shard, current, before = Shard(window), anchor, None
@@ -386,7 +401,7 @@ def covered_spans(found: DataFrame, window: int, parts: int, buckets: int) -> Da
             seen = seen[np.lexsort((seen["copy"], seen["start"], seen["key"], seen["window"]))]
             first = runs(seen["window"])
             least = np.repeat(seen[first], np.diff(np.append(first, len(seen))))
-            held.append(seen_spans(seen[(seen["key"] != least["key"]) | (seen["start"] != least["start"]) | (seen["copy"] != least["copy"])]))
+            held.append(joined(seen[(seen["key"] != least["key"]) | (seen["start"] != least["start"]) | (seen["copy"] != least["copy"])], window))
         if held:
             yield from flush()
 
@@ -434,10 +449,9 @@ def deduplicated(documents: DataFrame, window: int = WINDOW, hot: int = HOT_ANCH
                 gone = _gone(text, words, found)
                 kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            yield pa.record_batch([batch.column("key"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["key", "n_words", "n_removed", "kept_sha256"])
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = keyed(documents).join(_spans_of(documents, window, hot), "key", "left").transform(in_arrow, finish, "key long, n_words long, n_removed long, kept_sha256 string")
-    return joined.withColumn("key", F.nullif("key", F.lit(-(1 << 63)))).withColumnRenamed("key", "doc_id")
+    return keyed(documents).join(_spans_of(documents, window, hot), "key", "left").transform(in_arrow, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def replaced(documents: DataFrame, window: int = WINDOW, hot: int = HOT_ANCHOR) -> DataFrame:
@@ -446,7 +460,7 @@ def replaced(documents: DataFrame, window: int = WINDOW, hot: int = HOT_ANCHOR)
     A text that loses all its words goes with its row; one that had none, or is null, stays.
     """
     spans = _spans_of(documents, window, hot).withColumnRenamed("key", "_key").withColumnRenamed("spans", "_spans")
-    joined = documents.join(spans, F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("_key"), "left").drop("_key")
+    both = documents.join(spans, F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("_key"), "left").drop("_key")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -465,7 +479,7 @@ def replaced(documents: DataFrame, window: int = WINDOW, hot: int = HOT_ANCHOR)
             yield out.filter(pa.array(keep))
 
     documents_columns = documents.columns
-    return joined.transform(in_arrow, finish, documents.schema)
+    return both.transform(in_arrow, finish, documents.schema)
 
 
 def op8(documents: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brooklet.llm import ngram_join, substring, warc
 from brooklet.llm.common import bloom_filter, bloom_hash, in_bloom, scratch
@@ -38,6 +39,8 @@ def brute_removed(rows, window):
 def test_substring_is_brute_force(documents, none, rows, hot):
     got = sorted(map(tuple, substring.deduplicated(documents, hot=hot).collect()), key=str)
     assert got == sorted(brute_removed([(i, t) for i, t, _ in rows[0]], 20), key=str)
+    least = documents.withColumn("doc_id", F.when(F.col("doc_id") == 1, F.lit(-(1 << 63))).otherwise(F.col("doc_id")))  # it sorts with null, and stays itself
+    assert substring.deduplicated(least, hot=hot).where(F.col("doc_id") == -(1 << 63)).count() == 1
     assert substring.deduplicated(none, hot=hot).count() == 0
 
 
@@ -64,6 +67,17 @@ def test_substring_on_families_of_near_copies(spark):
         assert sorted(map(tuple, substring.deduplicated(d, hot=hot).collect())) == sorted(brute_removed(rows, 20))
 
 
+def test_substring_on_a_line_that_many_share(spark, monkeypatch):
+    """A line in every document, copies by the dozen: hot from the start, hot by count, or not."""
+    monkeypatch.setattr(substring, "OFTEN", 5)
+    line = prose(31, 27)
+    rows = [(k, f"{prose(k, 9 + k % 30)} {line} {prose(k + 500, 30)}") for k in range(60)] + [(k, prose(77, 70)) for k in range(60, 90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wanted = sorted(brute_removed(rows, 20))
+    for hot in (substring.HOT_ANCHOR, 25):
+        assert sorted(map(tuple, substring.deduplicated(d, hot=hot).collect())) == wanted
+
+
 def test_substring_leaves_spacing_and_columns(spark, documents, rows):
     out = substring.replaced(documents, 20).toPandas()
     assert list(out.columns) == documents.columns and 2 not in set(out.doc_id) and {4, 5, 6, 7} <= set(out.doc_id.dropna())
