@@ -9,7 +9,8 @@ hash of doc_id. Predictions see nothing but the text.
 
 Defined results: null texts and texts without a letter get `und` and score 0; rows without lang are not learned from;
 ties of rank go by code points, ties of distance by the name of the language; without a row to learn from, every
-document is `und`; equal texts get equal results; extra columns are ignored.
+document is `und`; equal texts get equal results; repeated rows give a row each; an empty table gives no rows; extra
+columns, whatever their names, are ignored (`identified`) or kept (`filtered`, which drops und).
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from .common import in_arrow, slices, use_cache
 PROFILE_GRAMS = 400
 #: Rows of each language to learn from; a documented bound of the fit.
 SAMPLE_ROWS = 3000
-#: Languages at most: their profiles are sent to every task.
-MOST_LANGUAGES = 2000
+#: Languages at most: their profiles are sent to every task, seven kilobytes each. More labels than that are no languages, and raise.
+MOST_LANGUAGES = 20_000
 #: How fast the share of a language falls with its distance (in profile lengths), for the score.
 SHARPNESS = 40.0
-#: filtered() drops documents less like any learned language than this (0: no common sequence, 1: the same ranking).
-LEAST_SIMILARITY = 0.05
+#: filtered() drops documents less like any learned language than this (0: no common sequence, 1: the same ranking). Of the
+#: given tables no text lies below 0.41; hexadecimal digits lie at 0.14, random letters and Base64 at 0.2, Finnish against
+#: profiles of English, German, French and Spanish at 0.25, other scripts at 0.
+LEAST_SIMILARITY = 0.3
 UNDETERMINED = "und"
 _EDGE = 32
 
@@ -68,10 +71,13 @@ class Profiles:
 
     def __init__(self, ranked: dict[str, list[int]], most: int = PROFILE_GRAMS) -> None:
         self.languages, self.most = sorted(ranked), most
-        self.names = np.unique(np.array([g for r in ranked.values() for g in r], np.uint64))
-        self.ranks = np.full((len(self.names) + 1, len(self.languages)), -1, np.int32)  # the last row: in no profile
-        for k, language in enumerate(self.languages):
-            self.ranks[np.searchsorted(self.names, np.array(ranked[language], np.uint64)), k] = np.arange(len(ranked[language]))
+        gram = np.array([g for x in self.languages for g in ranked[x]], np.uint64)
+        language = np.array([k for k, x in enumerate(self.languages) for _ in ranked[x]], np.int32)
+        rank = np.array([r for x in self.languages for r in range(len(ranked[x]))], np.int32)
+        order = np.argsort(gram, kind="stable")
+        self.names, self.first = np.unique(gram[order], return_index=True)
+        self.count = np.diff(np.append(self.first, len(gram)))
+        self.language, self.rank = language[order], rank[order]  # of each sequence in names, its languages and ranks
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score (the language's share among all, by distance) and similarity (1 - distance / largest distance)."""
@@ -80,8 +86,11 @@ class Profiles:
             return UNDETERMINED, 0.0, 0.0
         at = np.searchsorted(self.names, own)
         at[at == len(self.names)] = 0
-        rows = self.ranks[np.where(self.names[at] == own, at, len(self.names))]
-        costs = np.where(rows < 0, self.most, np.abs(rows - np.arange(len(own))[:, None])).sum(0) / (len(own) * self.most)
+        place = np.flatnonzero(self.names[at] == own)
+        n = self.count[at[place]]
+        rows = np.repeat(self.first[at[place]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        near = self.most - np.abs(self.rank[rows] - np.repeat(place, n))  # what a shared sequence saves
+        costs = 1 - np.bincount(self.language[rows], near, len(self.languages)) / (len(own) * self.most)
         best = int(costs.argmin())
         share = np.exp(-SHARPNESS * (costs - costs[best]))
         return self.languages[best], float(1 / share.sum()), float(1 - costs[best])
@@ -132,16 +141,18 @@ def identified(documents: DataFrame, profiles: Profiles) -> DataFrame:
     return documents.select("doc_id", "text").transform(in_arrow, run, "doc_id long, lang_pred string, score double, similarity double")
 
 
-def filtered(documents: DataFrame, profiles: Profiles, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """The documents that resemble a learned language; all their columns as they were."""
+def filtered(documents: DataFrame, profiles: Profiles, least: float = LEAST_SIMILARITY, languages: list[str] | None = None) -> DataFrame:
+    """The documents that resemble a learned language (one of `languages`, if given), their lang set to it; all other columns as they were."""
     shared = documents.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_cache()
         own = shared.value
         for batch in slices(batches):
-            keep = [(p := own.predict(t))[0] != UNDETERMINED and p[2] >= least for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            got = [own.predict(t) for t in batch.column("text").to_pylist()]
+            if "lang" in batch.schema.names:
+                batch = batch.set_column(batch.schema.get_field_index("lang"), batch.schema.field("lang"), pa.array([g[0] for g in got], pa.string()))
+            yield batch.filter(pa.array([g[0] != UNDETERMINED and g[2] >= least and (languages is None or g[0] in languages) for g in got], pa.bool_()))
 
     return documents.transform(in_arrow, run, documents.schema)
 

@@ -111,10 +111,25 @@ def test_language_is_brute_force(documents, none, rows):
     assert all(0 <= r.score <= 1 and 0 <= r.similarity <= 1 for r in got)
     assert language.op3(none).count() == 0
     kept = language.filtered(documents, language.fitted(documents)).toPandas()
-    assert list(kept.columns) == documents.columns and {4, 5, 6, 8, 23}.isdisjoint(kept.doc_id.dropna()) and {1, 7, 14} <= set(kept.doc_id.dropna())
+    assert list(kept.columns) == documents.columns and {4, 5, 6, 8, 23}.isdisjoint(kept.doc_id.dropna()) and {1, 14} <= set(kept.doc_id.dropna())
+    assert language.filtered(none, language.fitted(documents)).count() == 0 and language.filtered(documents, language.fitted(none)).count() == 0
     assert {r.lang_pred for r in language.op3(documents.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_filter_acts(spark):
+    """Labels that are wrong or missing are set; what is in no learned language goes, as do languages that aren't wanted."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 400")
+    profiles = language.fitted(d)
+    wrong = d.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("string")).otherwise(F.lit("xx")))
+    strange = ["Съешь же ещё этих мягких французских булок. " * 9, hashlib.sha512(b"x").hexdigest() * 9, "人人生而自由在尊严和权利上一律平等 " * 9, "12345 67890 !!! " * 30]
+    extra = spark.createDataFrame([(-k - 1, t, "en") for k, t in enumerate(strange)], "doc_id long, text string, lang string")
+    kept = language.filtered(wrong.unionByName(extra, allowMissingColumns=True), profiles)
+    assert kept.columns == d.columns
+    pair = kept.join(d.select("doc_id", F.col("lang").alias("own")), "doc_id").selectExpr("count(*) n", "avg(int(lang = own)) a").first()
+    assert kept.where("doc_id < 0").count() == 0 and pair.n == d.count() and pair.a > 0.98
+    assert {r.lang for r in language.filtered(d, profiles, languages=["de"]).select("lang").distinct().collect()} == {"de"}
+
+
 def test_language_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = language.op3(d).where("held_out").join(d, "doc_id").selectExpr("avg(int(lang = lang_pred)) a").first()
