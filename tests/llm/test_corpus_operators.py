@@ -256,7 +256,7 @@ def test_pipeline(spark, documents, rows, tmp_path):
     first, second, third, fourth = kept.values()
     assert {4, 5, 6, 8, 23}.isdisjoint(first) and {1, 2, 3, 7, 9, 15} <= set(first)
     assert {2, 3}.isdisjoint(second) and {1, 9, 15} <= set(second) and second.count(17) == 1
-    assert 15 in third and 15 not in fourth and {9, 14} <= set(fourth) and 1 not in third
+    assert 15 in third and 15 not in fourth and {9, 14} <= set(fourth) and 1 in third and None not in second
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == sorted(i for i in fourth if i is not None)
     assert [n for n, _ in corpus_pipeline.STAGES] == list(kept) + ["BPE encoding and decoding"]
@@ -269,13 +269,26 @@ def test_rows_of_a_repeated_id_are_judged_by_their_own_texts(spark):
     near = lambda t: t + " tail"
     third, fourth = prose(23, 100), prose(24, 100)
     low, high = sorted((third, fourth))
-    rows = [(1, low), (2, near(low)), (2, high), (3, near(high)), (4, base), (4, near(base)), (4, other), (4, other), (5, None), (5, None), (6, ""), (6, other), (None, base), (7, "one")]
+    rows = [(1, low), (2, near(low)), (2, high), (3, near(high)), (4, base), (4, near(base)), (4, other), (4, other), (5, None), (5, None), (6, ""), (6, other), (None, base), (7, "one"), (None, None), (None, None), (None, " "), (None, prose(25, 80)), (None, near(prose(25, 80))), (None, prose(25, 80))]
     docs = spark.createDataFrame([(i, t, "en", "src", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = sorted(((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
-    wanted = [(1, low), (2, high), (4, base), (4, other), (5, None), (6, ""), (None, base), (7, "one")]
+    wanted = [(1, low), (2, high), (4, base), (4, other), (5, None), (6, ""), (7, "one"), (None, None), (None, None), (None, " "), (None, prose(25, 80))]
     assert got == sorted(((i, t, "en", "src", 9) for i, t in wanted), key=str)
 
 
+def test_language_stage_acts(spark):
+    """Rows change, and rows go: labels are set, texts in no learned language and unwanted languages leave."""
+    import corpus_pipeline
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    blind = d.withColumn("lang", F.when(F.col("doc_id") % 4 != 0, F.col("lang")))
+    extra = spark.createDataFrame([(-1, "Съешь же ещё этих мягких французских булок.", None), (-2, "0123 4567", None)], "doc_id long, text string, lang string")
+    out = corpus_pipeline.identify_language(spark, blind.unionByName(extra, allowMissingColumns=True), "")
+    assert out.where("lang is null or doc_id < 0").count() == 0 and out.count() >= 0.99 * d.where("rlike(text, '[a-z]')").count()
+    changed = out.join(blind.select("doc_id", F.col("lang").alias("was")), "doc_id").where("not (lang <=> was)").count()
+    assert changed >= 0.2 * d.count()
+
+
 def test_registered(spark, small):
     import __spark_entry__ as entry
 
