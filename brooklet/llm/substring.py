@@ -208,6 +208,8 @@ def record(dtype: np.dtype, *columns: np.ndarray) -> np.ndarray:
 
 def joined(seen: np.ndarray, window: int) -> np.ndarray:
     """SPAN records of the words that SEEN windows cover; windows that start one word after another are one span."""
+    if not len(seen):
+        return np.empty(0, SPAN)
     seen = seen[np.lexsort((seen["start"], seen["copy"], seen["key"]))]
     start = seen["start"].astype(np.int64)
     first = runs(seen["key"], seen["copy"], start - np.arange(len(seen)))
