@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -29,14 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (local runs only) one made here."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, with its scheme: spark.checkpoint.dir, or (local runs only) one made here.
+
+    A path without a scheme lies in Hadoop's default file system, for Arrow's writers as for Spark's.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(mkdtemp(prefix="brooklet-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+        if not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(mkdtemp(prefix="brooklet-"))
+        found = context.getCheckpointDir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return re.sub(r"^file:/(?!/)", "file:///", whole)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

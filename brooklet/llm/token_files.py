@@ -5,12 +5,13 @@ each a zstandard frame; the index, an Arrow stream in a zstandard frame with a r
 length of each plane); the documents, likewise (doc_id, n_tokens); a trailer with the lengths of the two and MAGIC.
 A reader takes the trailer, the index and then only the blocks that it wants.
 
-``write_token_files`` deals documents out by ranges of doc_id, so that files in order hold ids in ascending doc_id
-order; a task holds one block and the (doc_id, n_tokens) of its own range. A file is written under another name and
+``write_token_files`` deals documents out by ranges of doc_id, a hash of the text and the number of the partition that a row
+was read in, so that files in order hold ids in ascending doc_id order and rows of one doc_id, null included, need not meet in one
+task; a task holds one block and the (doc_id, n_tokens) of its own range. A file is written under another name and
 moved, so that a repeated task only replaces equal bytes.
 
 Defined results: null texts count as empty (the end id only); rows of equal doc_id follow each other in order of
-their text; a null doc_id comes first; an empty table gives no file; extra columns are ignored.
+a hash of their text; a null doc_id comes first; an empty table gives no file; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import in_arrow, scratch, slices, stored, texts_as_bytes
 from .tokens import default_path, encoded
@@ -52,18 +54,23 @@ def _unpacked(data: bytes) -> pa.Table:
 
 class Writer:
     def __init__(self, out) -> None:
-        self.out, self.at, self.rest, self.index, self.docs = out, len(MAGIC), b"", [], []
+        self.out, self.at, self.index, self.docs = out, len(MAGIC), [], []
+        #: Ids that fill no block yet.
+        self.rest: list[bytes] = []
+        self.waiting = 0
         out.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.docs.append((doc_id, len(ids) // 4))
-        self.rest += ids
+        self.rest.append(ids)
+        self.waiting += len(ids)
         size = BLOCK_IDS * 4
-        if len(self.rest) >= size:
-            whole = len(self.rest) // size * size
+        if self.waiting >= size:
+            joined = b"".join(self.rest)
+            whole = self.waiting // size * size
             for at in range(0, whole, size):
-                self._block(self.rest[at : at + size])
-            self.rest = self.rest[whole:]
+                self._block(joined[at : at + size])
+            self.rest, self.waiting = [joined[whole:]], self.waiting - whole
 
     def _block(self, ids: bytes) -> None:
         planes = np.frombuffer(ids, np.uint8).reshape(-1, PLANES).T
@@ -76,8 +83,8 @@ class Writer:
         self.index.append(row)
 
     def close(self) -> None:
-        if self.rest:
-            self._block(self.rest)
+        if self.waiting:
+            self._block(b"".join(self.rest))
         names = ["ids", *(f"{what}{k}" for k in range(PLANES) for what in ("offset", "length"))]
         columns = list(zip(*self.index, strict=True)) if self.index else [[]] * len(names)
         index = _packed(pa.record_batch([pa.array(c, pa.int64()) for c in columns], names))
@@ -149,7 +156,9 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str | None
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([f"{folder}/part-{part:06d}.ids"]), pa.array([len(writer.docs)], pa.int64()), pa.array([total], pa.int64())], ["part", "path", "n_docs", "n_tokens"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = documents.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", "_hash", "_part")
+    rows = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), F.spark_partition_id().alias("_part"))
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return stored(ordered.transform(in_arrow, write, MANIFEST), "token-manifest")
 
 
