@@ -8,12 +8,14 @@ index vector, normalised. A document is the mean over its words of the sum of th
 hidden layer of tanh units, one logistic output) is trained by full-batch Adam on the labelled sample, less a fifth on
 which the temperature of its output is then fitted, so that scores are probabilities.
 
-The sample is bounded: SAMPLE_ROWS labelled rows of each label at most in expectation, by a hash of doc_id; the
-vocabulary has the VOCABULARY most frequent terms of the sample. Scores see nothing but the text.
+The sample is bounded: of each label the SAMPLE_ROWS labelled doc_ids with the least hashes at most, and as many of
+these, in that order, as have SAMPLE_BYTES of text in all; the vocabulary has the VOCABULARY most frequent terms of the
+sample. Scores see nothing but the text.
 
 Defined results: null and empty texts get the score of a document without words; without labelled rows of both
-labels every score is the share of label 1 in the sample, or 0.5; rows whose label is null are not learned from; equal texts
-get equal scores; extra columns are ignored.
+labels every score is the share of label 1 among the labels, or 0.5; rows whose label is null are not learned from, nor is a
+doc_id with both labels; of a repeated doc_id the least text is learned from, and every row is scored by its own; equal
+texts get equal scores; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +30,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, slices, texts_as_bytes
+from .common import Tables, in_arrow, slices, texts_as_bytes
 from .language import remainder
 
 DIMENSIONS, NONZERO, HIDDEN, EPOCHS, RATE, DECAY = 48, 4, 16, 400, 0.02, 1e-3
-SAMPLE_ROWS, VOCABULARY, REACH, STRETCH = 2500, 20_000, 2, 100_000
+SAMPLE_ROWS, SAMPLE_BYTES, VOCABULARY, REACH, STRETCH = 2500, 64 << 20, 20_000, 2, 100_000
 #: Words whose vectors a Python worker remembers.
 MEMORY_WORDS = 200_000
 THRESHOLD = 0.3
@@ -183,15 +185,18 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def fitted(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fitted(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """The model of labels (doc_id, quality 0 or 1) over documents (doc_id, text)."""
-    rows = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
+    rows = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").select("doc_id", "quality")
     counts = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
-    share = F.when(F.col("quality") == 1, min(1.0, sample_rows / counts.get(1, 1))).otherwise(min(1.0, sample_rows / counts.get(0, 1)))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < share * (1 << 20))
-    found = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality").toArrow()  # 2 * SAMPLE_ROWS
-    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
-    found = found.take(pa.array(order))
+    tables, order = Tables(), F.xxhash64("doc_id", F.lit("quality"))
+    least = [rows.where(F.col("quality") == q).select("doc_id", "quality", order.alias("order")).orderBy("order", "doc_id").limit(sample_rows) for q in (0, 1)]
+    chosen = F.broadcast(least[0].union(least[1]))  # 2 * sample_rows
+    sample = tables.stored(documents.select("doc_id", "text").join(chosen, "doc_id").groupBy("quality", "order", "doc_id").agg(F.min("text").alias("text")), "quality-sample")
+    sizes = Window.partitionBy("quality").orderBy("order", "doc_id")  # over the sample only
+    fitting = sample.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(sizes)).where(F.col("bytes") <= sample_bytes)
+    found = fitting.orderBy("doc_id").select("doc_id", "text", "quality").toArrow()  # 2 * sample_rows, 2 * sample_bytes
+    tables.release()
     texts, y = texts_as_bytes(found.column("text").combine_chunks()), found.column("quality").to_numpy().astype(np.float64)
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     if len(set(y.tolist())) < 2:
