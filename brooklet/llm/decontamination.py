@@ -10,16 +10,19 @@ of seven tokens and more have masks of MORE_MASKS for their length besides, so t
 window's tokens, or fewer, leaves a place where some mask hits (all patterns counted for windows of 7 to 20 tokens: recall
 100 %); replacements cost nothing, insertions split a passage in two.
 
-The index of the benchmark is broadcast in blocks of BLOCK_BYTES of item text at most; a larger benchmark takes
-several passes over the documents, so no size of it is too large. Memory of a task is that of a slice and a block.
+The index of the benchmark is broadcast in blocks of BLOCK_BYTES of item text at most. A larger benchmark takes one
+pass over the documents for each block, one after another, each block's index given back before the next is sent; so no size of it
+is too large, and the memory of a task is that of a slice and of one block. Hits are reduced to distinct diagonals HITS at a time.
 
 Defined results: null, empty and white-space texts and items match nothing; items of fewer than seven tokens are only
 found whole and unchanged; each row of documents with a matching item gives one row for each such item, repeated rows
-included; items with equal text give a row each; extra columns are ignored.
+included; items with equal text give a row each; an empty table of either kind gives no matches; extra columns, whatever
+their names, are ignored (`contaminated`) or kept (`decontaminated`).
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import defaultdict
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, caching, in_arrow, slices, texts_as_bytes, use_cache
+from .common import CACHE_WORDS, broadcast_if_small, caching, in_arrow, slices, stored, texts_as_bytes, use_cache
 
 #: Places that count are 1.
 MASKS = ("1110111", "11010000111", "11011011", "1111000101", "10101111")
@@ -45,6 +48,9 @@ MORE_MASKS = {
 }
 WINDOW, LEAST_SHARE = 20, 0.75
 BLOCK_BYTES = 32 << 20
+#: Pairs of equal hashes that are held at once (or those of one place, if they are more).
+HITS = 1 << 20
+_MIDDLE = 1 << 31
 _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 _FACTORS = np.array([xxhash.xxh3_64_intdigest(str(k)) | 1 for k in range(64)], np.uint64)
 
@@ -117,8 +123,8 @@ class Index:
         self.seen[(self.names >> self.shift).astype(np.int64)] = True
 
     def hits(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """item and diagonal (place in flat less place in the item) of every hit."""
-        items, diagonals = [], []
+        """item and diagonal (place in flat less place in the item) of the hits, each pair once."""
+        found = [np.empty(0, np.int64)]
         for mask in self.masks:
             h = mask_hashes(flat, mask)
             at = np.flatnonzero(self.seen[(h >> self.shift).astype(np.int64)])
@@ -128,10 +134,12 @@ class Index:
             good = self.names[k] == h[at]
             at, k = at[good], k[good]
             n = self.count[k]
-            rows = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            items.append(self.item[rows])
-            diagonals.append(np.repeat(at, n) - self.place[rows])
-        return np.concatenate(items), np.concatenate(diagonals)
+            cuts = np.flatnonzero(np.diff((np.cumsum(n) - 1) // HITS)) + 1
+            for at_, k_, n_ in zip(*(np.split(x, cuts) for x in (at, k, n)), strict=True):
+                rows = np.repeat(self.first[k_] - np.cumsum(n_) + n_, n_) + np.arange(n_.sum())
+                found.append(np.unique((self.item[rows] << 32) + (np.repeat(at_, n_) - self.place[rows] + _MIDDLE)))
+        pairs = np.unique(np.concatenate(found))
+        return pairs >> 32, (pairs & 0xFFFFFFFF) - _MIDDLE
 
     def matches(self, texts: list[bytes]) -> dict[int, list[tuple[int, float, int, int]]]:
         """For each matching text (by its number): item, best share of a window, and the words from and to of all windows that match."""
@@ -144,7 +152,7 @@ class Index:
         item, diagonal = self.hits(flat)
         out: dict[int, dict[int, tuple[float, int, int]]] = defaultdict(dict)
         seen: set[tuple[int, int, int]] = set()
-        for k, d in set(zip(item.tolist(), diagonal.tolist(), strict=True)):
+        for k, d in zip(item.tolist(), diagonal.tolist(), strict=True):
             own = self.items[k]
             # a diagonal may cross several texts; each is looked at by itself
             for text in range(int(np.searchsorted(ends, max(d, 0), "right")), len(ends)):
@@ -172,16 +180,17 @@ class Index:
         return {text: sorted((k, *v) for k, v in found.items()) for text, found in out.items()}
 
 
-def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
-    """Of the benchmark (item_id, text), block by block."""
+def blocks(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """The items that have a text, and the number of blocks that they are cut into."""
     items = benchmark.select("item_id", "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total * 2 // block_bytes if total > block_bytes else 1
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        rows = sorted(map(tuple, block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))  # block_bytes at most
-        if rows:
-            yield Index(rows)
+    return items, 1 + total * 2 // block_bytes if total > block_bytes else 1
+
+
+def index_of(items: DataFrame, block: int, number: int) -> Index:
+    """Of one block, block_bytes at most."""
+    rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == block) if number > 1 else items
+    return Index(sorted(map(tuple, rows.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
 MATCH = "doc_id long, item_id long, overlap double, from_word long, to_word long"
@@ -189,11 +198,9 @@ MATCH = "doc_id long, item_id long, overlap double, from_word long, to_word long
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """MATCH: a row for each document and each item it holds a passage of."""
-    spark = documents.sparkSession
-
-    def found(index: Index) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
+    context = documents.sparkSession.sparkContext
 
+    def found(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in slices(batches):
@@ -204,16 +211,25 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, block_bytes: int =
 
         return documents.select("doc_id", "text").transform(in_arrow, run, MATCH)
 
-    parts = [found(index) for index in indexes(benchmark, block_bytes)]
-    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], MATCH)
+    items, number = blocks(benchmark, block_bytes)
+    if number == 1:
+        return found(context.broadcast(index_of(items, 0, 1)))
+    parts = []
+    for block in range(number):
+        shared = context.broadcast(index_of(items, block, number))
+        parts.append(stored(found(shared), "contaminated"))
+        shared.destroy()
+    return reduce(DataFrame.union, parts)
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents without a passage of the benchmark; all their columns as they were."""
+    """The documents without a passage of the benchmark; all their columns as they were.
 
-    def cleaned(rows: DataFrame, index: Index) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast(index)
+    With several blocks, each pass stores the digests of the texts that match; the documents then go by an anti-join of these.
+    """
+    context = documents.sparkSession.sparkContext
 
+    def kept(rows: DataFrame, shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 keep = np.ones(batch.num_rows, bool)
@@ -222,4 +238,22 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, block_bytes: int
 
         return rows.transform(in_arrow, run, rows.schema)
 
-    return reduce(cleaned, indexes(benchmark, block_bytes), documents)
+    def matching(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                texts = texts_as_bytes(batch.column("text"))
+                yield pa.record_batch([pa.array([hashlib.md5(texts[k]).digest() for k in shared.value.matches(texts)], pa.binary())], ["_digest"])
+
+        return documents.select("text").transform(in_arrow, run, "_digest binary")
+
+    items, number = blocks(benchmark, block_bytes)
+    if number == 1:
+        return kept(documents, context.broadcast(index_of(items, 0, 1)))
+    parts = []
+    for block in range(number):
+        shared = context.broadcast(index_of(items, block, number))
+        parts.append(stored(matching(shared).distinct(), "matching"))
+        shared.destroy()
+    gone = stored(reduce(DataFrame.union, parts).distinct(), "matching")
+    digest = F.unhex(F.md5(documents["text"].cast("binary")))
+    return documents.join(broadcast_if_small(gone, gone.count()), digest == gone["_digest"], "left_anti").select(documents.columns)
