@@ -9,11 +9,14 @@ Reading: files are cut into splits. The task of a split finds every place that l
 not, and the place its successor would have; it follows these inside the split and emits, for each candidate, where its
 chain leaves the split. Pointer jumping from offset 0 of each file (the pointers double in reach each round) then marks
 the places where the true chain enters each split; what only looks like a record, such as a magic number inside a
-payload, lies on no chain from the start. A last pass reads the records of each split along the true chain.
+payload, lies on no chain from the start. A last pass reads the records of each split along the true chain. Archives of
+other writers are read too: any version, gzip members without a length (these are inflated to find their end), records of any type.
 
 Defined results: null and empty html is an empty payload; rows with equal page_id and payload are records of their own
-of the same type; a null page_id never is the smallest, unless no other page has the payload; a file whose chain
-doesn't end at its end raises ValueError; an empty table gives no file and no rows; extra columns are ignored.
+of the same type; a null page_id never is the smallest, unless no other page has the payload; a record of other writers
+without a digest gets that of its payload, one without a page number a null page_id, one whose payload isn't there and
+isn't told a null payload_bytes; a file whose chain doesn't end at its end, or a record whose payload contradicts its SHA-1,
+raises ValueError; an empty table gives no file and no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,18 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, scratch, slices, stored
+from .common import BROADCAST_ROWS, in_arrow, scratch, slices, stored
 from .token_files import filesystem
 
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT_BYTES = 0
 FILE_BYTES, SPLIT_BYTES, LEVEL = 64 << 20, 8 << 20, 3
-#: The longest header that a plain record may have.
-HEADER_BYTES = 1 << 16
+#: Header bytes of a plain record that are read at once, and the longest header that it may have; a longer one breaks the chain.
+HEADER_BYTES, MOST_HEADER_BYTES = 1 << 16, 16 << 20
+#: Where repeated payloads are too many to be broadcast, each digest is dealt out so many ways.
+SALTS = 32
 DATE = "2000-01-01T00:00:00Z"
 _HEAD = struct.Struct("<4sIBBH2sHII")
-_MEMBER = re.compile(rb"\x1f\x8b\x08\x04.{6}\x0c\x00SL\x08\x00", re.DOTALL)
-_PLAIN = re.compile(rb"WARC/1\.1\r\n")
+_HEAD_BYTES = _HEAD.size
+_MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f].{6}", re.DOTALL)
+_SIZED = re.compile(rb"\x1f\x8b\x08\x04.{6}\x0c\x00SL\x08\x00", re.DOTALL)
+_PLAIN = re.compile(rb"WARC/\d\.\d\r\n")
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?=\r\n)", re.IGNORECASE)
 
 
@@ -71,28 +78,66 @@ def member(data: bytes, level: int = LEVEL) -> bytes:
     return _HEAD.pack(b"\x1f\x8b\x08\x04", 0, 0, 255, 12, b"SL", 8, size, len(data)) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
-def member_length(data: bytes, at: int) -> int:
-    return _HEAD.unpack_from(data, at)[7]
-
-
-def http_length(http: bytes) -> int:
-    return int(_LENGTH.search(http + b"\r\n")[1])
-
-
-def candidates(data: bytes, begin: int, end: int, size: int, plain: bool) -> dict[int, int]:
-    """Offset -> offset of the successor, of whatever looks like a record that starts in [begin, end) of a file; data starts at begin."""
+class Window:
+    """Bytes of a file from a place on; reads on when more are asked for."""
+
+    def __init__(self, path: str, begin: int, end: int, size: int) -> None:
+        files, name = filesystem(path)
+        self.file, self.begin, self.size, self.plain = files.open_input_file(name), begin, size, not path.endswith(".gz")
+        self.data = self.file.read_at(end - begin, begin)
+
+    def bytes(self, at: int, n: int) -> bytes:
+        """n bytes from a place on, fewer at the end of the file."""
+        low = at - self.begin
+        return self.data[low : low + n] if low + n <= len(self.data) else self.file.read_at(min(n, self.size - at), at)
+
+    def successor(self, at: int) -> int | None:
+        """Where the record that starts here, if one does, has its successor."""
+        following = self._plain_end(at) if self.plain else self._member_end(at)
+        return following if following is not None and at < following <= self.size else None
+
+    def _plain_end(self, at: int) -> int | None:
+        n = HEADER_BYTES
+        while True:
+            head = self.bytes(at, n)
+            stop = head.find(b"\r\n\r\n")
+            if stop >= 0 or len(head) < n or n >= MOST_HEADER_BYTES:
+                break
+            n *= 4
+        length = _LENGTH.search(head, 0, stop + 2) if stop >= 0 else None
+        return at + stop + 8 + int(length[1]) if length else None
+
+    def _member_end(self, at: int) -> int | None:
+        head = self.bytes(at, _HEAD.size)
+        if len(head) == _HEAD.size and _SIZED.match(head):
+            return at + _HEAD.unpack(head)[7]
+        inflate, place = zlib.decompressobj(31), at
+        try:
+            while not inflate.eof and place < self.size:
+                data = self.bytes(place, HEADER_BYTES)
+                place += len(data)
+                while data and not inflate.eof:  # a bounded piece of the content at a time
+                    inflate.decompress(data, 1 << 20)
+                    data = inflate.unconsumed_tail
+        except zlib.error:
+            return None
+        return place - len(inflate.unused_data) if inflate.eof else None
+
+
+def http_length(http: bytes) -> int | None:
+    found = _LENGTH.search(b"\r\n" + http + b"\r\n")
+    return int(found[1]) if found else None
+
+
+def candidates(window: Window, end: int) -> dict[int, int]:
+    """Offset -> offset of the successor, of whatever looks like a record that starts in the window before end."""
     out = {}
-    for m in (_PLAIN if plain else _MEMBER).finditer(data):
-        at = begin + m.start()
+    for m in (_PLAIN if window.plain else _MEMBER).finditer(window.data):
+        at = window.begin + m.start()
         if at >= end:
             break
-        if plain:
-            stop = data.find(b"\r\n\r\n", m.start(), m.start() + HEADER_BYTES)
-            length = _LENGTH.search(data, m.start(), stop + 2) if stop >= 0 else None
-            following = begin + stop + 8 + int(length[1]) if length else size + 1
-        else:
-            following = at + member_length(data, m.start()) if m.start() + _HEAD.size <= len(data) else size + 1
-        if at < following <= size:
+        following = window.successor(at)
+        if following is not None:
             out[at] = following
     return out
 
@@ -113,7 +158,7 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    return fields, rest[: int(fields["content-length"])]
+    return fields, rest[: int(fields.get("content-length", len(rest)))]
 
 
 MANIFEST = "path string, bytes long, records long"
@@ -121,13 +166,19 @@ MANIFEST = "path string, bytes long, records long"
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT_BYTES, plain: bool = False, level: int = LEVEL, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html); returns MANIFEST, stored."""
-    payload = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))
-    narrow = rows.where(F.col("n") >= least).select("page_id", "digest")
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"))
-    later = narrow.join(first, "digest").where("first is not null and (page_id is null or page_id > first)").distinct()
-    later = later.select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "first")
-    marked = rows.join(later, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "html", "first")
+    spark, payload = pages.sparkSession, F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("digest"))
+    long_enough = F.octet_length(payload) >= least
+    # only digests that occur twice are met again; the pages themselves are shuffled if these are too many to be broadcast, else not
+    counted = rows.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    first = stored(counted.select("digest", "first"), "warc-repeated")
+    if first.count() <= BROADCAST_ROWS // 4:  # 40 letters each
+        joined = rows.join(F.broadcast(first), "digest", "left")
+    else:
+        salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
+    revisit = long_enough & F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
+    marked = joined.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("first"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -171,20 +222,13 @@ def splits(manifest: DataFrame, split_bytes: int) -> DataFrame:
     return every.select("path", "bytes", "split", begin.alias("begin"), F.least("bytes", begin + split_bytes).alias("end")).repartition(parts, "path", "split")
 
 
-def _read(path: str, begin: int, end: int) -> bytes:
-    files, name = filesystem(path)
-    with files.open_input_file(name) as f:
-        return f.read_at(end - begin, begin)
-
-
 def record_chain(parts: DataFrame, split_bytes: int) -> DataFrame:
     """path, offset, exit of the places where the true chain enters splits (0 of each file first), and where it leaves them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, size, _, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = _read(path, begin, min(size, end + HEADER_BYTES))
-                found = exits(candidates(data, begin, end, size, not path.endswith(".gz")), end)
+                found = exits(candidates(Window(path, begin, min(size, end + _HEAD_BYTES), size), end), end)
                 yield pa.record_batch([pa.array([path] * len(found), pa.string()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["path", "offset", "exit"])
 
     links = stored(parts.transform(in_arrow, scan, "path string, offset long, exit long"), "warc-links")
@@ -222,21 +266,21 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, at, leaves in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "exit")), strict=True):
-                data, start, plain, rows = _read(path, at, leaves), at, not path.endswith(".gz"), []
+                window, rows = Window(path, at, leaves, leaves), []
                 while at < leaves:
-                    if plain:
-                        following = candidates(data[at - start : at - start + HEADER_BYTES], at, at + 1, leaves, True)[at]
-                        raw = data[at - start : following - start]
-                    else:
-                        following = at + member_length(data, at - start)
-                        raw = zlib.decompress(data[at - start : following - start], 31)
-                    fields, block = parsed(raw)
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-                    size = len(payload) if kind == "response" else http_length(http)
-                    if kind == "response" and digest_of(payload) != digest:
+                    following = window.successor(at)
+                    raw = window.bytes(at, following - at)
+                    fields, block = parsed(raw if window.plain else zlib.decompress(raw, 31))
+                    http, payload = b"", block
+                    if fields.get("content-type", "").startswith("application/http"):
+                        http, _, payload = block.partition(b"\r\n\r\n")
+                    kind, told = fields.get("warc-type", ""), fields.get("warc-payload-digest", "").partition(":")[::2]
+                    digest, size = digest_of(payload), len(payload)
+                    if kind == "revisit":
+                        digest, size = told[1] or None, http_length(http)
+                    elif told[0] == "sha1" and len(told[1]) == 32 and told[1].upper() != digest and b"transfer-encoding" not in http.lower():
                         raise ValueError(f"payload and digest differ at {at} of {path}")
-                    rows.append((path, at, kind, number(fields["warc-record-id"]), number(fields.get("warc-refers-to")), size, digest))
+                    rows.append((path, at, kind, number(fields.get("warc-record-id")), number(fields.get("warc-refers-to")), size, digest))
                     at = following
                 kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
                 yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [x.split()[0] for x in RECORD.split(", ")])
