@@ -228,6 +228,40 @@ def test_warc(spark, plain, level):
     assert warc.op6(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("most", [warc.BROADCAST_ROWS, 0])
+def test_warc_with_many_equal_pages(spark, monkeypatch, most):
+    """Repeated payloads by a broadcast, or dealt out several ways."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+    rows = [(k, "u", None if k % 3 == 0 else "same" if k % 3 == 1 else f"own {k}") for k in range(200)] + [(None, "u", "none"), (None, None, "none")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("first", F.lit(1)).withColumn("salt", F.lit("x")).repartition(4)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op6(pages).collect()), key=str)
+    assert got == sorted(brute_records(rows), key=str)
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    """Other versions and types, no digest, no lengths of gzip members, headers longer than a read, payloads that look like records."""
+    import gzip
+
+    def other(kind, block, *fields):
+        return b"WARC/1.0\r\n" + "".join(f"{x}\r\n" for x in (f"WARC-Type: {kind}", *fields, f"Content-Length: {len(block)}")).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    http = "Content-Type: application/http; msgtype=response"
+    page = b"<p>" + b"WARC/1.0\r\nContent-Length: 3\r\n\r\n" * 40 + gzip.compress(b"inner") + b"</p>"
+    records = [
+        other("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), other("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        other("response", b"HTTP/1.1 200 OK\r\n\r\n" + page, http, "WARC-Record-ID: <urn:uuid:1>", "WARC-Target-URI: http://x/" + "a" * 200_000),
+        other("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", http, "WARC-Payload-Digest: sha1:ABC"), warc.record(7, "u", page, None, False), other("metadata", b""),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r, 0 if k % 2 else 6) for k, r in enumerate(records)))
+    files = [(str(p), p.stat().st_size, len(records)) for p in sorted(tmp_path.iterdir())]
+    wanted = [("warcinfo", None, 13), ("request", None, 0), ("response", None, len(page)), ("revisit", None, None), ("response", 7, len(page)), ("metadata", None, 0)]
+    for split in (500, 1 << 20):
+        got = warc.read_archives(spark.createDataFrame(files, warc.MANIFEST), split_bytes=split).orderBy("path", "offset").collect()
+        assert [(r.record_type, r.page_id, r.payload_bytes) for r in got] == wanted * 2
+        assert got[3].payload_digest == "ABC" and got[2].payload_digest == warc.digest_of(page) == got[8].payload_digest
+
+
 def test_warc_gzip_is_standard_and_broken_chains_raise(spark, tmp_path):
     import gzip
 
@@ -311,3 +345,9 @@ def test_few_unrelated_sets_share_a_signature(num, den):
             both = -(-size * 2 * num // (num + den))  # the least overlap of two linked sets of this size
             b = np.sort(np.concatenate((r.permutation(a)[:both], made(size - both))))
             assert set(ngram_join.signatures(a, levels).tolist()) & set(ngram_join.signatures(b, levels).tolist())
+
+
+def test_covered_windows_are_joined():
+    seen = lambda *rows: substring.record(substring.SEEN, *np.array(rows, np.int64).reshape(-1, 4).T)
+    assert len(substring.joined(seen(), 20)) == 0
+    assert substring.joined(seen((7, 1, 0, 5), (8, 1, 0, 4), (9, 1, 0, 9), (9, 1, 3, 6), (9, 2, 0, 6)), 20).tolist() == [(1, 0, 4, 25), (1, 0, 9, 29), (1, 3, 6, 26), (2, 0, 6, 26)]

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from brooklet.llm import bpe, decontamination, language, media, quality, token_files, tokens
@@ -63,7 +64,8 @@ def test_words_are_encoded_as_the_library_does():
 
 def test_token_files(spark, documents, none, rows, reference_ids):
     start, wanted = 0, []
-    for i, t, _ in sorted(rows[0], key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    order = lambda t: np.uint64(xxhash.xxh64_intdigest(text_of(t).encode(), 42)).astype(np.int64)
+    for i, t, _ in sorted(rows[0], key=lambda r: (r[0] is not None, r[0] or 0, order(r[1]))):
         ids = np.array([*reference_ids[text_of(t)], 2], "<u4")
         wanted.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -148,6 +150,39 @@ def test_quality_held_out_accuracy_and_edges(spark, documents, none):
     assert quality.op7(none, few).count() == 0 and {r.score for r in quality.op7(documents, few.where("false")).collect()} == {0.5}
 
 
+def test_quality_is_brute_force(spark, documents):
+    """Pooling and the network in plain Python, number by number, with repeated doc_ids, conflicting and repeated labels."""
+    from math import exp, tanh
+
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (7, 1, 0), (9, 1, 0), (9, 1, 0), (10, 0, 1), (11, 0, 0), (12, 0, 1), (14, 1, 0), (17, 1, 0), (18, 0, 0), (20, 1, 0), (20, 0, 0), (21, 0, 0), (16, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fitted(documents, labels)
+    assert model.layers is not None and model.prior == 0.5
+    mean, spread, w1, b1, w2, b2 = (x.tolist() for x in model.layers)
+
+    def vector(term):
+        if term in model.vectors:
+            return model.vectors[term].astype(float).tolist()
+        own = quality.index_vector(term).astype(float).tolist()
+        size = sum(x * x for x in own) ** 0.5
+        return [x / size for x in own] if size else own
+
+    def score(text):
+        words = text_of(text).encode().split()
+        total, before = [0.0] * quality.DIMENSIONS, None
+        for w in words:
+            for t in quality.terms(w) + ([quality.AGAIN] if w == before else []):
+                total = [a + b for a, b in zip(total, vector(t), strict=True)]
+            before = w
+        z = [(t / max(1, len(words)) - m) / s for t, m, s in zip(total, mean, spread, strict=True)]
+        h = [tanh(sum(z[k] * w1[k][j] for k in range(len(z))) + b1[j]) for j in range(len(b1))]
+        return 1 / (1 + exp(-max(-30.0, min(30.0, (sum(a * b for a, b in zip(h, w2, strict=True)) + b2[0]) / model.temperature))))
+
+    got = quality.scored(documents, model).join(documents.select("doc_id", "text"), "doc_id").collect()
+    assert got and all(any(abs(score(t) - r.score) < 1e-5 for t in [x.text for x in got if x.doc_id == r.doc_id]) for r in got)
+    fewer = quality.fitted(documents, labels, sample_rows=2, sample_bytes=1000)
+    assert all(0 <= r.score <= 1 for r in quality.scored(documents, fewer).collect())
+
+
 def test_quality_terms():
     assert quality.terms(b"Word,") == [b"word", b","] and quality.terms(b"|") == [b"|"] and quality.terms(b"--A.b-c!!") == [b"--", b"a.b-c", b"!!"]
     x = quality.temperature(np.array([4.0, -4.0, 4.0, 4.0]), np.array([1.0, 0.0, 1.0, 0.0]))
@@ -205,11 +240,22 @@ def test_decontamination(spark, documents, none, rows):
     assert all(r.overlap >= 0.75 for r in got) and all((r.from_word, r.to_word) == (40, 70) for r in got if (r.doc_id, r.item_id) == (15, 1))
     blocks = decontamination.contaminated(documents, benchmark, block_bytes=150).collect()
     assert sorted(map(tuple, blocks), key=str) == sorted(map(tuple, got), key=str)
+    several = decontamination.decontaminated(documents, benchmark, block_bytes=150)
     clean = decontamination.decontaminated(documents, benchmark)
+    assert several.columns == clean.columns and sorted(map(tuple, several.collect()), key=str) == sorted(map(tuple, clean.collect()), key=str)
     assert clean.columns == documents.columns and clean.count() == documents.count() - len({i for i, _ in wanted})
     assert decontamination.contaminated(none, benchmark).count() == 0 and decontamination.contaminated(documents, benchmark.where("false")).count() == 0
 
 
+def test_one_word_texts_and_items(monkeypatch):
+    """A text and an item of one repeated word: as many diagonals as words, however few hits are held at once."""
+    index = decontamination.Index([(1, "la " * 3000), (2, "la lo " * 30)])
+    wanted = index.matches([b"la " * 5000, b"lo la " * 40, b"lo " * 50])
+    assert [k for k, *_ in wanted[0]] == [0] and [k for k, *_ in wanted[1]] == [1] and set(wanted) == {0, 1}
+    monkeypatch.setattr(decontamination, "HITS", 100)
+    assert index.matches([b"la " * 5000, b"lo la " * 40, b"lo " * 50]) == wanted
+
+
 def test_masks_find_substitutions():
     r = np.random.default_rng(5)
     index = decontamination.Index([(1, prose(3, 40))])
@@ -247,4 +293,4 @@ def test_masks_leave_no_pattern_out(length):
 
 
 def test_scratch_is_shared(spark):
-    assert scratch(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert scratch(spark, "x").startswith("file://" + spark.conf.get("spark.checkpoint.dir") + "/x-")
