@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from .text import B0, B1, NS, S, W
+from .text import B0, B1, NS, S, W, python_pattern
 
 #: Kind, pattern and its group, in the order that decides which spelling comes first.
 PATTERNS = (
@@ -20,30 +19,35 @@ PATTERNS = (
     ("number_unit", rf"{B0}[0-9]+(?:\.[0-9]+)?(?:MB|GB|KB|TB|ms|s|min|hr|h){B1}", 0),
     ("env_var", rf"{B0}[A-Z][A-Z0-9_]{{2,}}{B1}", 0),
 )
-
-
-def _found(text: Column, kind: str, pattern: str, group: int) -> Column:
-    names = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    if kind == "url":
-        names = F.transform(names, lambda x: F.regexp_replace(x, r"[.,;)]+\z", ""))
-    elif kind == "path":
-        names = F.filter(names, lambda x: x.contains("/") & (F.length(x) > 2))
-    elif kind == "env_var":
-        names = F.filter(names, lambda x: x.contains("_") | (F.length(x) >= 4))
-    return F.transform(names, lambda x: F.struct(x.alias("name"), F.lit(kind).alias("type")))
+#: What a text must hold for a pattern to be searched at all.
+_NEEDED = {"email": "@", "url": "://", "mention": "@", "hashtag": "#", "ip": ".", "port": ":", "path": "/", "money": "$"}
+_SEARCHES = tuple((kind, python_pattern(pattern), group, _NEEDED.get(kind, "")) for kind, pattern, group in PATTERNS)
+
+
+def found(text: str) -> list[tuple[str, str]]:
+    """(name, kind): of each kind and name (any case) the first spelling, kinds in the order of PATTERNS."""
+    out = []
+    for kind, pattern, group, needed in _SEARCHES:
+        if needed not in text:
+            continue
+        seen = set()
+        for m in pattern.finditer(text):
+            name = m[group]
+            if kind == "url":
+                name = name.rstrip(".,;)")
+            elif kind == "path" and len(name) <= 2:
+                continue
+            elif kind == "env_var" and "_" not in name and len(name) < 4:
+                continue
+            lowered = name.lower()
+            if lowered not in seen:
+                seen.add(lowered)
+                out.append((name, kind))
+    return out
 
 
 def entities(text: Column) -> Column:
-    """array<struct<name, type>>: of each kind and name (any case) the first spelling, kinds in the order above."""
-
-    def once(found: Column) -> Column:
-        # bound by an outer lambda, so that the pattern is searched once and not for each name
-        def kept(names: Column) -> Column:
-            lowered = F.transform(names, lambda x: F.lower(x["name"]))
-            return F.filter(names, lambda x, i: F.array_position(lowered, F.lower(x["name"])) == i + 1)
-
-        return F.flatten(F.transform(F.array(found), kept))
-
-    return F.concat(*(once(_found(text, *p)) for p in PATTERNS))
-
+    """array<struct<name, type>> as found() has them; of a null text empty."""
+    from .facts import facts
 
+    return facts(text)["entities"]

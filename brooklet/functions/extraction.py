@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from .text import NS, S, W, stripped
+from .text import NS, S, W, python_pattern
 
 I = "(?iu)"  # noqa: E741
 REST, LINE = r"([^.!]+[.!]?)", r"([^\n]+)"
@@ -34,28 +33,40 @@ PATTERNS = (
 LONGEST = 500
 
 
-def _matches(text: Column, pattern: str, group: int) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), stripped)
+#: Of the patterns that begin with letters in any case: words of which a text must hold one for a pattern to be searched.
+_NEEDED = {
+    0: ("important", "note", "nb", "critical", "warning", "caution", "attention"), 1: ("=",), 2: ("set", "change", "update"), 3: ("port", "host", "url", "endpoint", "key", "token", "path"), 4: ("decided",), 5: ("decision", "decided", "conclusion"),
+    6: ("let",), 7: ("going",), 8: ("til", "learned", "turns", "found", "discovered"), 9: ("trick", "solution", "fix", "answer", "key"), 10: ("always", "never"), 11: ("prefer", "like", "want", "need"), 12: ("don", "do not"),
+    13: ("todo", "fixme", "hack", "xxx"), 14: ("need", "should", "must", "have", "gotta"), 15: ("remember", "forget"), 16: ("is", "are", "was", "were"), 17: (":", "="),
+}
+#: Letters that match s, k and i in any case, besides these.
+_FOLDED = str.maketrans("\u017f\u212a\u0131", "ski")
+_SEARCHES = tuple(python_pattern(p[2]) for p in PATTERNS)
 
 
-def _one(text: Column, number: int) -> Column:
-    family, tier, pattern, group, over, stop = PATTERNS[number]
-    if pattern.startswith("([A-Z]"):
-        said = F.zip_with(_matches(text, pattern, 1), _matches(text, pattern, 2), lambda k, v: F.concat(k, F.lit("="), v))
-        sized = said
-    elif family == "facts" and "[:=]" in pattern:
-        said = F.zip_with(_matches(text, pattern, 1), _matches(text, pattern, 2), lambda k, v: F.concat(k, F.lit(": "), v))
-        sized = said
-    elif family == "facts":
-        said = sized = _matches(text, pattern, 1)
-    else:
-        said, sized = _matches(text, pattern, 0), _matches(text, pattern, group)
-    if not stop:
-        sized = F.transform(sized, lambda x: F.regexp_replace(x, r"\.+\z", ""))
-    both = F.filter(F.arrays_zip(said.alias("text"), sized.alias("sized")), lambda x: (F.length(x["sized"]) > over) & (F.length(x["sized"]) < LONGEST))
-    return F.transform(both, lambda x, i: F.struct(F.lit(number).alias("pattern"), i.alias("match"), x["text"].alias("text"), F.lit(family).alias("type"), F.lit(tier).alias("tier")))
+def found(content: str) -> list[tuple[int, int, str, str, str]]:
+    """(pattern, match, text, type, tier): what a message says, in the order of PATTERNS and of the text."""
+    out, lowered = [], content.replace("\u0130", "i").lower().translate(_FOLDED)
+    for number, (family, tier, _, group, over, stop) in enumerate(PATTERNS):
+        if not any(w in lowered for w in _NEEDED[number]):
+            continue
+        match = 0
+        for m in _SEARCHES[number].finditer(content):
+            if group is not None:
+                said, sized = m[0].strip(), m[group].strip()
+            elif m.re.groups == 1:
+                said = sized = m[1].strip()
+            else:
+                said = sized = m[1].strip() + ("=" if family == "config" else ": ") + m[2].strip()
+            if not stop:
+                sized = sized.rstrip(".")
+            if over < len(sized) < LONGEST:
+                out.append((number, match, said, family, tier))
+                match += 1
+    return out
 
 
 def extractions(text: Column) -> Column:
-    """array<struct<pattern, match, text, type, tier>> in the order of PATTERNS and of the text."""
-    return F.concat(*(_one(text, k) for k in range(len(PATTERNS))))
+    from .facts import extractions as column
+
+    return column(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -15,6 +16,11 @@ S, NS, W, NW = f"[{SPACE}]", f"[^{SPACE}]", r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
 B0, B1 = rf"(?<!{W})", rf"(?!{W})"
 
 
+def python_pattern(pattern: str) -> re.Pattern:
+    """A pattern of the classes above for Python, whose own classes of white space and words are the same ones."""
+    return re.compile(pattern.replace(SPACE, r"\s").replace(r"\p{L}\p{N}_", r"\w").replace(r"\z", r"\Z"))
+
+
 @lru_cache(maxsize=1)
 def accent_tables() -> tuple[str, str]:
     """Letters with a diacritic (Latin-1, Latin Extended-A, Additional), and what they are without it."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions.entities import entities
 from ..functions.extraction import extractions
 from ..functions.importance import importance
@@ -35,20 +36,24 @@ def new_items(items: DataFrame, memories: DataFrame) -> DataFrame:
 
 
 def numbered(items: DataFrame, first_id: int, now: float) -> DataFrame:
-    """New items as MEMORY rows, ids from first_id in the order of position.
+    """New items as MEMORY rows, ids without gaps from first_id in the order of position (and of hash, among equal ones).
 
-    Ranges of position are counted (one row a partition), so no task sorts more than its own.
+    Ranges of position are checkpointed with the place of each row in its range, so that counting and numbering see the
+    same ranges; no task sorts more than its own.
     """
-    ranged = items.repartitionByRange("position").sortWithinPartitions("position").withColumn("_part", F.spark_partition_id())
-    counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
-    offsets, total = {}, first_id
-    for part, n in counts:
-        offsets[part] = total
-        total += n
-    base = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])[F.col("_part")] if offsets else F.lit(first_id)
-    order = Window.partitionBy("_part").orderBy("position")
-    fixed = {"id": base + F.row_number().over(order) - 1, "created_at": F.lit(now), "updated_at": F.lit(now), "archived": F.lit(False), "access_count": F.lit(0), "last_accessed": F.lit(None)}
-    return ranged.withColumns(fixed).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in MEMORY))
+    order = ("position", "content_hash", "namespace")
+    ranged = items.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = checkpointed(ranged.withColumn("_at", F.monotonically_increasing_id()))  # the partition in the upper bits, the place in the lower 33
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.cast("int").alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row a partition
+    base, total = [], first_id
+    for row in counts:
+        base.append((row["part"], total))
+        total += row["n"]
+    bases = placed.sparkSession.createDataFrame(base, "_part int, _base long")
+    rows = placed.withColumn("_part", part.cast("int")).join(F.broadcast(bases), "_part")
+    fixed = {"id": F.col("_base") + place, "created_at": F.lit(now), "updated_at": F.lit(now), "archived": F.lit(False), "access_count": F.lit(0), "last_accessed": F.lit(None)}
+    return rows.withColumns(fixed).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in MEMORY))
 
 
 def conversation_items(messages: DataFrame) -> DataFrame:

@@ -30,22 +30,28 @@ def stats(memories: DataFrame, namespace: str | None = None, dim: int = 128, qua
     return total.withColumns({"bytes_per_vector": F.lit(8 + dim if quantised else 4 * dim), "stored_size": human_size(F.lit(float(stored_bytes)))})
 
 
+def tagged(memories: DataFrame, tag: str) -> DataFrame:
+    """Active memories with the tag."""
+    return selected(memories).where(F.array_contains("tags", tag))
+
+
 def memory_entities(memories: DataFrame) -> DataFrame:
-    """name, type, memory_id, position of every entity in every memory."""
-    return memories.select(F.col("id").alias("memory_id"), F.posexplode(entities_of(F.col("content"))).alias("position", "e")).select("e.name", "e.type", "memory_id", "position")
+    """key (the name in lower-case ASCII letters), name, type, memory_id, position of every entity in every memory."""
+    rows = memories.select(F.col("id").alias("memory_id"), F.posexplode(entities_of(F.col("content"))).alias("position", "e"))
+    return rows.select(ascii_lower(F.col("e.name")).alias("key"), "e.name", "e.type", "memory_id", "position")
 
 
 def entity_counts(entities: DataFrame, memories: DataFrame, kind: str | None = None, limit: int | None = 50) -> DataFrame:
     """name, type, memory_count over active memories, most frequent first. Of a name's spellings the first stands (quirk 4)."""
     rows = entities.where(F.lit(True) if kind is None else F.col("type") == kind).join(memories.where("not archived").select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
-    out = rows.groupBy(ascii_lower(F.col("name")).alias("key"), "type").agg(F.countDistinct("memory_id").alias("memory_count"), F.min_by("name", F.struct("memory_id", "position")).alias("name"))
+    out = rows.groupBy("key", "type").agg(F.countDistinct("memory_id").alias("memory_count"), F.min_by("name", F.struct("memory_id", "position")).alias("name"))
     out = out.select("name", "type", "memory_count").orderBy(F.desc("memory_count"), "name", "type")
     return out if limit is None else out.limit(limit)
 
 
 def related(entities: DataFrame, memories: DataFrame, name: str, kind: str | None = None, limit: int | None = 10, namespace: str | None = None) -> DataFrame:
     """Active memories with the entity (any case of ASCII letters), newest first."""
-    hits = entities.where((ascii_lower(F.col("name")) == ascii_lower(F.lit(name))) & (F.lit(True) if kind is None else F.col("type") == kind))
+    hits = entities.where((F.col("key") == ascii_lower(F.lit(name))) & (F.lit(True) if kind is None else F.col("type") == kind))
     rows = hits.join(selected(memories, None, namespace), hits["memory_id"] == memories["id"])
     out = rows.select("id", "content", "tier", rows["source"], F.col("name").alias("entity_name"), F.col("type").alias("entity_type"), "created_at").distinct()
     out = out.orderBy(F.desc("created_at"), "id", "entity_name")

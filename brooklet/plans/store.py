@@ -1,24 +1,34 @@
-"""An append-only event log in Parquet, its fold, and the tools on it.
+"""An append-only event log in Parquet, its fold, what is derived from it, and the tools on it.
 
 Every mutation writes one commit, a folder of events; a commit counts once its marker file is there, so a reader never
-sees half of one. The current state of a memory is the fold of its events by sequence number. Reads are pure; `now` is
-always a parameter. compacted() rewrites the log as one commit of inserts.
+sees half of one. The current state of a memory is its insert and the fold of the marks after it. Commits that insert
+also write what is derived from the texts: postings and lengths for keyword search, vectors, entities, each sorted for
+the reads that follow; these folders are written before the events, so a failing embedder stores nothing. Reads are
+pure; `now` is always a parameter. compacted() rewrites the log and its derived tables as one base; it comes by itself
+after `compact_every` commits.
+
+One writer at a time: a mutation holds a file that is created exclusively (on a store whose create is atomic, such as
+HDFS or a local disk) from its first read to its commit; another waits, and takes over a file older than LEASE seconds.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from contextlib import contextmanager
+from functools import reduce, wraps
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..checkpoints import checkpointed
-from ..functions.vectors import hash_embedded
+from ..functions.embedders import embedder
 from ..operators import consolidate as near
 from ..operators import history as versions
 from ..operators import ingest, reads, retention, search
-from ..schema import MEMORY, NotFoundError, StoreError, checked_tier
+from ..schema import MEMORY, EmbeddingError, NotFoundError, StoreError, checked_tier
 from ..sources import files
 
 #: An event: what happened to a memory; inserts carry the whole memory.
@@ -26,67 +36,177 @@ EVENT = T.StructType([T.StructField("seq", T.LongType()), T.StructField("ts", T.
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """MEMORY rows from EVENT rows: one aggregation by memory, with partial sums before the shuffle."""
-    by = lambda value, *ops: F.max_by(F.when(F.col("op").isin(*ops), value), F.when(F.col("op").isin(*ops), F.col("seq")))
-    on = lambda *ops: F.col("op").isin(*ops)
-    state = events.groupBy("target").agg(
-        by(F.col("memory"), "insert").alias("m"),
-        by(F.when(on("insert"), F.col("memory.archived")).otherwise(on("archive")), "insert", "archive", "unarchive").alias("archived"),
-        F.max(F.when(on("insert"), F.col("memory.updated_at")).when(on("touch", "archive", "unarchive", "link") & (F.col("ts") > 0), F.col("ts"))).alias("updated_at"),
-        by(F.when(on("insert"), F.col("memory.supersedes")).otherwise(F.col("value")), "insert", "link").alias("supersedes"),
-        F.sum(F.when(on("access"), F.col("value")).when(on("insert"), F.col("memory.access_count")).otherwise(0)).alias("access_count"),
-        F.max(F.when(on("access"), F.col("ts")).when(on("insert"), F.col("memory.last_accessed"))).alias("last_accessed"),
-    )
-    changed = {"archived", "updated_at", "supersedes", "access_count", "last_accessed"}
-    return state.where("m is not null").select(*((F.col(f.name) if f.name in changed else F.col(f"m.{f.name}")).cast(f.dataType).alias(f.name) for f in MEMORY))
+    """MEMORY rows from EVENT rows, one insert a memory.
+
+    Only marks are aggregated (partially before their shuffle); inserts pass by as they are, so columns that a read
+    doesn't want are never read, and a small set of marks is broadcast to them.
+    """
+    when = lambda value, *ops: F.when(F.col("op").isin(*ops), value)
+    by = lambda value, *ops: F.max_by(when(value, *ops), when(F.col("seq"), *ops))
+    marks = events.where("op <> 'insert'").groupBy("target").agg(
+        by(F.col("op") == "archive", "archive", "unarchive").alias("_archived"),
+        F.max(F.when(F.col("op").isin("touch", "archive", "unarchive", "link") & (F.col("ts") > 0), F.col("ts"))).alias("_updated"),
+        F.max(when(F.lit(True), "link")).alias("_linked"), by(F.col("value"), "link").alias("_link"),
+        F.sum(when(F.col("value"), "access")).alias("_count"), F.max(when(F.col("ts"), "access")).alias("_access"),
+    )
+    inserts = events.where("op = 'insert'").select("target", *(F.col(f"memory.{f.name}").alias(f.name) for f in MEMORY))
+    changed = {
+        "archived": F.coalesce("_archived", "archived"), "updated_at": F.greatest("updated_at", "_updated"), "supersedes": F.when(F.col("_linked"), F.col("_link")).otherwise(F.col("supersedes")),
+        "access_count": F.col("access_count") + F.coalesce("_count", F.lit(0)), "last_accessed": F.greatest("last_accessed", "_access"),
+    }
+    return inserts.join(marks, "target", "left").select(*(changed.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in MEMORY))
+
+
+#: What is derived from texts: schema, and the columns that its files are sorted by.
+DERIVED = {
+    "postings": ("token string, id long, dl int, column int, place int", ("token", "id", "column", "place")), "lengths": ("id long, dl int", ("id",)),
+    "vectors": ("id long, embedding array<float>", ("id",)), "entities": ("key string, name string, type string, memory_id long, position int", ("key", "memory_id", "position")),
+}
+#: Seconds after which a writer's file counts as left behind, and that another writer waits for it.
+LEASE, PATIENCE = 3600.0, 120.0
+
+
+def _writing(tool):
+    """A tool that reads and then writes, in one turn."""
+
+    @wraps(tool)
+    def run(self, *args, **named):
+        with self._turn():
+            return tool(self, *args, **named)
+
+    return run
 
 
 class Store:
     """Tools over a log at a path. Each mutating tool makes one commit."""
 
-    def __init__(self, spark: SparkSession, path: str, dim: int = 128, recency_weight: float = 0.1, decay_rate: float = 0.01, embed: Callable[[DataFrame], DataFrame] | None = None) -> None:
-        self.spark, self.path, self.dim, self.recency_weight, self.decay_rate = spark, path.rstrip("/"), dim, recency_weight, decay_rate
-        #: From (id, content) to (id, embedding); a Pandas UDF over contents fits here.
-        self.embed = embed or (lambda rows: hash_embedded(rows, dim=dim))
+    def __init__(
+        self, spark: SparkSession, path: str, dim: int = 128, recency_weight: float = 0.1, decay_rate: float = 0.01, embed: Callable[[DataFrame], DataFrame] | str | None = "hash", compact_every: int = 1000,
+    ) -> None:
+        self.spark, self.path, self.recency_weight, self.decay_rate, self.compact_every = spark, path.rstrip("/"), recency_weight, decay_rate, compact_every
+        #: From (id, content) to (id, embedding), a name of an embedder, or None: keyword search only.
+        self.embed = embedder(embed, dim) if isinstance(embed, str) else embed
+        self.dim = getattr(self.embed, "dim", dim) if self.embed else 0
+        self._turns = 0
 
     # the log
     def _fs(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _commits(self) -> list[int]:
+    @contextmanager
+    def _turn(self):
+        """The right to write, from the first read of a mutation to its commit. Turns inside a turn are the same turn."""
+        fs, path = self._fs(f"{self.path}/_writer")
+        began = time.monotonic()
+        while not self._turns:
+            try:
+                fs.create(path, False).close()
+                break
+            except Py4JJavaError as e:
+                if not fs.exists(path):
+                    if "FileAlreadyExists" not in str(e.java_exception):
+                        raise
+                elif time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > LEASE:
+                    fs.delete(path, False)
+                elif time.monotonic() - began > PATIENCE:
+                    raise StoreError(f"another writer holds {self.path}/_writer") from e
+                else:
+                    time.sleep(0.2)
+        self._turns += 1
+        try:
+            yield
+        finally:
+            self._turns -= 1
+            if not self._turns:
+                fs.delete(path, False)
+
+    def _exists(self, name: str) -> bool:
+        fs, path = self._fs(f"{self.path}/{name}")
+        return fs.exists(path)
+
+    def _names(self) -> set[str]:
         fs, path = self._fs(self.path)
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        done = sorted(int(n[7:]) for n in names if n.startswith("commit-") and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1]))
-        start = max((int(n[5:]) for n in names if n.startswith("base-") and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1])), default=-1)
-        return [start, *(n for n in done if n > start)]
+        return {s.getPath().getName() for s in fs.listStatus(path)} if fs.exists(path) else set()
+
+    def _done(self, names: set[str], kind: str) -> list[int]:
+        return sorted(int(n[-9:]) for n in names if n.startswith(f"{kind}-") and len(n) == len(kind) + 10 and self._exists(f"{n}/_SUCCESS"))
+
+    def _commits(self, names: set[str] | None = None) -> list[int]:
+        """The base (-1: none) and the commits after it."""
+        names = self._names() if names is None else names
+        start = max(self._done(names, "base"), default=-1)
+        return [start, *(n for n in self._done({n for n in names if n[-9:].isdigit() and int(n[-9:]) > start}, "commit"))]
+
+    def _table(self, schema, folder: str, base_folder: str) -> DataFrame:
+        names = self._names()
+        base, *commits = self._commits(names)
+        wanted = [f"{base_folder}-{base:09d}"] * (base >= 0) + [f"{folder}-{n:09d}" for n in commits]
+        paths = [f"{self.path}/{n}" for n in wanted if n in names]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def events(self) -> DataFrame:
-        base, *commits = self._commits()
-        paths = [f"{self.path}/base-{base:09d}"] * (base >= 0) + [f"{self.path}/commit-{n:09d}" for n in commits]
-        return self.spark.read.schema(EVENT).parquet(*paths) if paths else self.spark.createDataFrame([], EVENT)
+        return self._table(EVENT, "commit", "base")
 
     def memories(self) -> DataFrame:
         return fold(self.events())
 
-    def entities(self) -> DataFrame:
-        return reads.memory_entities(self.memories())
+    def derived(self, kind: str) -> DataFrame:
+        """A table of DERIVED, of all memories ever inserted."""
+        return self._table(DERIVED[kind][0], kind, f"{kind}-base")
 
-    def commit(self, *events: DataFrame) -> None:
-        """Events (op, target, value, ts, memory) as one commit; Spark's committer writes the marker last."""
-        base, *commits = self._commits()
-        number = max([base, *commits]) + 1
-        rows = events[0]
-        for e in events[1:]:
-            rows = rows.unionByName(e)
-        rows.withColumn("seq", F.lit(number).cast("long")).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT)).write.mode("overwrite").parquet(f"{self.path}/commit-{number:09d}")
+    def entities(self) -> DataFrame:
+        return self.derived("entities")
+
+    def _write(self, kind: str, rows: DataFrame, name: str) -> None:
+        schema, order = DERIVED[kind]
+        columns = [c.split()[0] for c in schema.split(", ")]
+        typed = rows.select(*(F.col(c.split()[0]).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in schema.split(", "))).select(*columns)
+        typed.repartitionByRange(*order[:2]).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+    def commit(self, *events: DataFrame, inserted: DataFrame | None = None) -> None:
+        """Events (op, target, value, ts, memory) as one commit; Spark's committer writes the marker last. inserted: MEMORY rows whose texts are new."""
+        with self._turn():
+            names = self._names()
+            number = max((int(n[-9:]) for n in names if n[-9:].isdigit()), default=-1) + 1  # no number is used twice, not even one of a commit that failed
+            if inserted is not None:
+                index = search.indexed(inserted)
+                self._write("postings", index.postings, f"postings-{number:09d}")
+                self._write("lengths", index.lengths, f"lengths-{number:09d}")
+                self._write("entities", reads.memory_entities(inserted), f"entities-{number:09d}")
+                if self.embed:
+                    try:
+                        self._write("vectors", self.embed(inserted.select("id", "content")), f"vectors-{number:09d}")
+                    except Exception as e:
+                        raise EmbeddingError(f"nothing was stored, as the embedder failed: {e}") from e
+            rows = reduce(DataFrame.unionByName, events).withColumn("seq", F.lit(number).cast("long"))
+            rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT)).write.mode("overwrite").parquet(f"{self.path}/commit-{number:09d}")
+            if self.compact_every and len(self._commits()) > self.compact_every:
+                self.compacted()
 
     def compacted(self) -> None:
-        """The log as one base of inserts, what a checkpoint is to a write-ahead log."""
-        _, *commits = self._commits()
-        if commits:
-            rows = self._inserts(self.memories()).withColumn("seq", F.lit(commits[-1]).cast("long"))
-            rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT)).write.mode("overwrite").parquet(f"{self.path}/base-{commits[-1]:09d}")
+        """The log as one base of inserts, and one folder of each derived table: what a checkpoint is to a write-ahead log."""
+        with self._turn():
+            _, *commits = self._commits()
+            if not commits:
+                return
+            last = commits[-1]
+            for kind in DERIVED:
+                self._write(kind, self.derived(kind), f"{kind}-base-{last:09d}")
+            rows = self._inserts(self.memories()).withColumn("seq", F.lit(last).cast("long"))
+            rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT)).write.mode("overwrite").parquet(f"{self.path}/base-{last:09d}")
+
+    def vacuum(self) -> int:
+        """Deletes folders that the base replaces, and those of commits that failed; returns how many. For when no reader is older than the base."""
+        with self._turn():
+            names = self._names()
+            base, *commits = self._commits(names)
+            live = {f"{k}base-{base:09d}" for k in ("", *(f"{k}-" for k in DERIVED))} | {f"{k}-{n:09d}" for k in ("commit", *DERIVED) for n in commits}
+            gone = [n for n in names if n[-9:].isdigit() and n not in live]
+            for n in gone:
+                fs, path = self._fs(f"{self.path}/{n}")
+                fs.delete(path, True)
+            return len(gone)
 
     @staticmethod
     def _inserts(memories: DataFrame) -> DataFrame:
@@ -107,7 +227,9 @@ class Store:
         return row
 
     # writing tools
+    @_writing
     def remember_batch(self, items: DataFrame, now: float, namespace: str = "") -> dict:
+        """Items (content and any of position, tier, source, tags, namespace, supersedes); of equal ones in a namespace the first, if no active memory has it."""
         before = self.memories()
         prepared = checkpointed(ingest.prepared(items, namespace))
         new = checkpointed(ingest.new_items(prepared, before))
@@ -116,9 +238,10 @@ class Store:
             first = (before.agg(F.max("id")).first()[0] or 0) + 1
             rows = checkpointed(ingest.numbered(new, first, now))
             gone = rows.where("supersedes is not null").select(F.col("supersedes").alias("id")).distinct()
-            self.commit(self._inserts(rows), self._marks("archive", gone, now))
-        return {"imported": imported, "deduplicated": total - imported, "embedded": imported}
+            self.commit(self._inserts(rows), self._marks("archive", gone, now), inserted=rows)
+        return {"imported": imported, "deduplicated": total - imported, "embedded": imported if self.embed else 0}
 
+    @_writing
     def remember(self, content: str, now: float, tier: str = "learned", tags: list[str] | None = None, source: str = "", namespace: str = "", supersedes: int | None = None) -> dict:
         if not (content or "").strip():
             raise ValueError("content is blank")
@@ -127,13 +250,14 @@ class Store:
         same = lambda: self.memories().where((F.col("content_hash") == F.substring(F.sha2(F.lit(content), 256), 1, 16)) & (F.col("namespace") == namespace) & ~F.col("archived")).select("id", "tier").first()
         if (row := same()) is not None:
             self.commit(self._marks("touch", self._ids(row["id"]), now))
-            return {"id": row["id"], "tier": row["tier"], "embedded": True, "deduplicated": True}
+            return {"id": row["id"], "tier": row["tier"], "embedded": self.embed is not None, "deduplicated": True}
         self.remember_batch(items, now, namespace)
-        return {"id": same()["id"], "tier": tier, "embedded": True, "deduplicated": False}
+        return {"id": same()["id"], "tier": tier, "embedded": self.embed is not None, "deduplicated": False}
 
     def add_procedure(self, rule: str, now: float, tags: list[str] | None = None, namespace: str = "") -> dict:
         return self.remember(rule, now, "procedural", tags, "", namespace)
 
+    @_writing
     def update_memory(self, old_id: int, content: str, now: float, tier: str | None = None, tags: list[str] | None = None, namespace: str | None = None) -> dict:
         old = self._one(old_id)
         kept = self.remember(content, now, tier or old["tier"], old["tags"] if tags is None else tags, "", old["namespace"] if namespace is None else namespace, old_id)
@@ -141,11 +265,13 @@ class Store:
             self.commit(self._marks("archive", self._ids(old_id), now), self._marks("link", self._ids(kept["id"]), now, F.lit(old_id)))
         return {"id": kept["id"], "supersedes": old_id}
 
+    @_writing
     def save_state(self, state: str, now: float, namespace: str = "") -> dict:
         rows = self.memories().where("tier = 'working' and not archived")
         self.commit(self._marks("archive", (rows.where(F.col("namespace") == namespace) if namespace else rows).select("id"), now))
         return {"saved": True, "id": self.remember(state, now, "working", ["state"], "save_state", namespace)["id"]}
 
+    @_writing
     def forget(self, memory_id: int, now: float, namespace: str | None = None) -> dict:
         row = self._one(memory_id)
         if namespace is not None and row["namespace"] != namespace and not row["namespace"].startswith(namespace + "/"):
@@ -153,12 +279,14 @@ class Store:
         self.commit(self._marks("archive", self._ids(memory_id), now))
         return {"forgotten": True, "id": memory_id}
 
+    @_writing
     def unarchive(self, memory_id: int, now: float) -> dict:
         if not self._one(memory_id)["archived"]:
             return {"unarchived": False, "id": memory_id, "reason": "not archived"}
         self.commit(self._marks("unarchive", self._ids(memory_id), now))
         return {"unarchived": True, "id": memory_id}
 
+    @_writing
     def _archived(self, rows: DataFrame, dry_run: bool = False) -> int:
         ids = checkpointed(rows.select("id"))
         n = ids.count()
@@ -166,19 +294,24 @@ class Store:
             self.commit(self._marks("archive", ids, 0))  # retention leaves updated_at as it was
         return n
 
+    @_writing
     def compact(self, now: float, max_age_days: float = 90, min_access: int = 0, tier: str | None = None, namespace: str | None = None, dry_run: bool = False) -> dict:
         return {"archived": self._archived(retention.compactable(self.memories(), now, max_age_days, min_access, tier and checked_tier(tier), namespace), dry_run), "dry_run": dry_run}
 
+    @_writing
     def cleanup_working(self, now: float) -> int:
         return self._archived(retention.expired_working(self.memories(), now))
 
+    @_writing
     def consolidate(self, now: float, threshold: float = 0.85, namespace: str | None = None, tier: str | None = None, merge: Callable[[list[dict]], str] | None = None, dry_run: bool = False, exact_up_to: int = 100) -> dict:
         """Archives near duplicates. merge: an optional function from the members of a group to one text that supersedes them."""
         chosen = checkpointed(search.selected(self.memories(), tier and checked_tier(tier), namespace))
         n = chosen.count()
         if n < 2:
             return {"groups": 0, "archived": 0, "dry_run": dry_run, "details": []}
-        vectors = checkpointed(self.embed(chosen))
+        if not self.embed:
+            raise EmbeddingError("consolidation needs an embedder")
+        vectors = checkpointed(self.derived("vectors").join(chosen.select("id"), "id", "left_semi"))
         pairs = near.exact_pairs(vectors, threshold) if n <= exact_up_to else near.lsh_pairs(vectors, threshold, self.dim)
         rows = checkpointed(near.groups(chosen, near.components(pairs)))
         counted = rows.agg(F.countDistinct("root"), F.count_if(~F.col("kept"))).first()
@@ -196,6 +329,7 @@ class Store:
         details = rows.groupBy("kept_id").agg(F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("id")))).alias("archived_ids"), F.collect_list("preview").alias("contents_preview")).orderBy("kept_id")
         return {"groups": counted[0], "archived": counted[1], "dry_run": dry_run, "details": details}
 
+    @_writing
     def process_conversation(self, messages: DataFrame, now: float, namespace: str = "", source: str = "conversation") -> dict:
         """messages: message, content. Ids are those of the memories really inserted (quirk 13)."""
         rows = checkpointed(ingest.conversation_items(messages.select(F.lit(0).alias("run"), "message", "content")))
@@ -205,16 +339,26 @@ class Store:
         self.remember_batch(rows.select(order.alias("position"), F.col("text").alias("content"), "tier", F.array("type", F.lit("auto-extracted")).alias("tags"), F.lit(source).alias("source")), now, namespace)
         return {"extracted": sum(by_type.values()), "by_type": by_type, "memories": self.memories().where(F.col("id") > before).select("id").orderBy("id")}
 
+    @_writing
     def import_markdown(self, path: str, now: float, tier: str = "learned", namespace: str = "") -> dict:
+        fs, where = self._fs(path)
+        if not fs.exists(where):
+            return {"file": path, "chunks": 0, "imported": 0, "deduplicated": 0, "error": f"file not found: {path}"}
         rows = files.markdown(self.spark, path).withColumn("tier", F.lit(checked_tier(tier)))
-        order = F.shiftleft(F.dense_rank().over(_by_path()).cast("long"), 32) + F.col("chunk")
-        done = self.remember_batch(rows.withColumn("position", order), now, namespace)
+        done = self.remember_batch(files.placed(rows), now, namespace)
         return {"file": path, "chunks": done["imported"] + done["deduplicated"], **done}
 
     # reading tools
     def recall(self, queries: dict[int, str], now: float, **options) -> DataFrame:
-        return search.recall(self.memories(), queries, now, **{"recency_weight": self.recency_weight, "decay_rate": self.decay_rate, **options})
-
+        """Hybrid search over the stored index and vectors; the queries' vectors come from the store's own embedder."""
+        queries = search.translated(queries, options.pop("translate", None))
+        stored = {"index": search.Index(self.derived("postings"), self.derived("lengths")), "keyword_only": self.embed is None}
+        if self.embed and not options.get("keyword_only"):
+            asked = self.spark.createDataFrame(sorted(queries.items()), "id long, content string")
+            stored |= {"vectors": self.derived("vectors"), "query_vectors": self.embed(asked).select(F.col("id").alias("query"), F.col("embedding").alias("vector"))}
+        return search.recall(self.memories(), queries, now, **{"recency_weight": self.recency_weight, "decay_rate": self.decay_rate, **stored, **options})
+
+    @_writing
     def note_access(self, recalled: DataFrame, now: float) -> None:
         counts = recalled.groupBy("id").agg(F.count("*").alias("value"))
         self.commit(self._marks("access", counts, now, F.col("value")))
@@ -248,11 +392,5 @@ class Store:
         return getattr(self, TOOLS[tool])(**arguments)
 
 
-def _by_path():
-    from pyspark.sql import Window
-
-    return Window.orderBy("path")
-
-
 #: Tool -> method.
 TOOLS = {t: t for t in "recall remember remember_batch save_state today forget stats compact unarchive update_memory history consolidate related get_procedures add_procedure process_conversation import_markdown export_markdown cleanup_working".split()} | {"entities": "entity_counts", "checkpoint": "compacted"}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .checkpoints import checkpointed
+from .checkpoints import checkpointed, scratch
 from .functions import classify
 from .functions.entities import entities as entities_of
 from .functions.extraction import PATTERNS
@@ -17,8 +17,8 @@ from .functions.markdown import markdown_chunks
 from .functions.text import accent_tables, human_size
 from .functions.vectors import dequantised, hash_counts, hash_embedded, quantised
 from .operators import consolidate, history, ingest, reads, retention, search
-from .plans.store import EVENT, fold
-from .schema import EN_STOP, MEMORY, QUESTION_WORDS, RU_STOP, TECH_TERMS, TIERS, encoded_tags, normalize_legacy, tier_name
+from .plans.store import EVENT, Store, fold
+from .schema import ACTION_WORDS, EN_STOP, MEMORY, QUESTION_WORDS, RU_STOP, TECH_TERMS, TIERS, encoded_tags, normalize_legacy, tier_name
 from .streaming.streams import daily_counts
 
 NOW = 1_711_929_600.0
@@ -84,7 +84,7 @@ def entities_sql(rows: str) -> str:
 def importance_sql(rows: str, tier: str) -> str:
     tests = lambda xs: "least(1.0, round(0.2 * (" + " + ".join(f"({x})::INT" for x in xs) + "), 1))"
     structure = tests([rf"regexp_matches(content, '{p}')" for p in ("(?m)^- ", r"(?m)^\* ", r"(?m)^[0-9]+\. ", rf"{_W}+:{_S}+{_NS}", rf"{_W}+={_NS}", "```")])
-    action = tests([*(f"contains(lower(content), '{w}')" for w in "always never must should important critical todo fixme password token key secret".split()), rf"regexp_matches(content, '[A-Z_]{{3,}}={_NS}')"])
+    action = tests([*(f"contains(lower(content), '{w}')" for w in ACTION_WORDS), rf"regexp_matches(content, '[A-Z_]{{3,}}={_NS}')"])
     return f"""SELECT r.id, round(0.3::DOUBLE * (CASE {tier} WHEN 'core' THEN 1.0 WHEN 'procedural' THEN 0.9 WHEN 'learned' THEN 0.6 WHEN 'episodic' THEN 0.4 ELSE 0.2 END)::DOUBLE
       + 0.2::DOUBLE * (CASE WHEN length(content) < 30 THEN 0.2 WHEN length(content) < 100 THEN 0.2 + 0.8 * (length(content) - 30) / 70.0::DOUBLE WHEN length(content) <= 500 THEN 1.0 WHEN length(content) <= 800 THEN 1.0 - 0.3 * (length(content) - 500) / 300.0::DOUBLE ELSE 0.7 END)::DOUBLE
       + 0.2::DOUBLE * least(1.0, coalesce(n, 0) / 5.0::DOUBLE) + 0.15::DOUBLE * {structure}::DOUBLE + 0.15::DOUBLE * {action}::DOUBLE, 4) AS importance
@@ -107,7 +107,7 @@ MESSAGES = """msg AS (SELECT conv_id AS run, turn AS message, text AS content FR
   || '!' || chr(10) || 'Turns out segment ' || c_mktsegment || ' grows. Always check balance ' || floor(c_acctbal)::BIGINT || '. I prefer mail. TODO: write to ' || c_name || chr(10) || 'Balance is due.' || chr(10) || 'region: number ' || c_nationkey FROM customer)"""
 
 
-def extraction_sql() -> str:
+def extraction_sql(messages: str = MESSAGES, columns: str = "run, message, text, type, tier") -> str:
     parts = []
     for k, (family, tier, pattern, group, over, stop) in enumerate(PATTERNS):
         p = pattern.replace("(?iu)", "(?i)").replace(r"(?:^|(?<=\n)|", "(?m)(?:^|").replace("'", "''")
@@ -122,8 +122,8 @@ def extraction_sql() -> str:
         sized = whole if not group else trim(group)
         sized = sized if stop else rf"regexp_replace({sized}, '\.+$', '')"
         parts.append(f"SELECT run, message, {k} AS pattern, i AS match, {whole} AS text, {sized} AS sized, {over} AS least, '{family}' AS type, '{tier}' AS tier FROM (SELECT *, unnest(range(1, len(regexp_extract_all(content, '{p}')) + 1)) AS i FROM msg)")
-    return f"""WITH {MESSAGES}, x AS ({' UNION ALL '.join(parts)})
-      SELECT run, message, text, type, tier FROM x WHERE length(sized) > least AND length(sized) < 500 AND text <> ''
+    return f"""WITH {messages}, x AS ({' UNION ALL '.join(parts)})
+      SELECT {columns} FROM x WHERE length(sized) > least AND length(sized) < 500 AND text <> ''
       QUALIFY row_number() OVER (PARTITION BY run, lower(text) ORDER BY message, pattern, match) = 1"""
 
 
@@ -215,14 +215,88 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def as_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as items to remember, without blank ones."""
+    return table(spark, sf_dir, "documents").where("rlike(text, '[^ \\t\\n\\r]')").select(F.col("doc_id").alias("position"), F.col("text").alias("content"), F.col("lang").alias("namespace"), "source")
+
+
+#: What remember_batch makes of documents: of equal texts in a namespace the first, numbered in order.
+IMPORTED = r"""i AS (SELECT row_number() OVER (ORDER BY doc_id) AS id, text AS content, lang AS namespace, source FROM
+  (SELECT * FROM documents WHERE regexp_matches(text, '[^ \t\n\r]') QUALIFY row_number() OVER (PARTITION BY sha256(text), lang ORDER BY doc_id) = 1))"""
+
+
+def remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new store of all documents, remembered in two batches of which the second has all of the first again."""
+    store, items = Store(spark, scratch(spark, "store"), embed=None), as_items(spark, sf_dir)
+    store.remember_batch(items.where("position % 2 = 0"), NOW)
+    store.remember_batch(items, NOW + 1)
+    return store.memories().select("id", "content_hash", "namespace", "tier", "created_at", "importance")
+
+
+def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of all documents, and each kind of change to it."""
+    store = Store(spark, scratch(spark, "store"), embed=None)
+    store.remember_batch(as_items(spark, sf_dir), NOW)
+    text = store.memories().where("id = 1").first()
+    store.remember(text["content"], NOW + 1, namespace=text["namespace"])
+    store.save_state("step one of three", NOW + 2)
+    store.save_state("step two of three", NOW + 3)
+    store.forget(2, NOW + 4)
+    store.forget(4, NOW + 5)
+    store.unarchive(4, NOW + 6)
+    store.update_memory(7, "a new text instead of the seventh", NOW + 7, tags=["new"])
+    store.add_procedure("Always run the tests first", NOW + 8, namespace="rules")
+    store.forget(5, NOW + 9, "no/such/namespace")
+    return store.memories().select("id", "content_hash", "tier", "namespace", "archived", "supersedes", "updated_at", F.array_join("tags", ",").alias("tags"))
+
+
+CHANGED = f"""WITH {IMPORTED}, n AS (SELECT count(*) AS n FROM i), old AS (SELECT id, content, 'learned' AS tier, namespace, id IN (2, 7) AS archived, NULL::BIGINT AS supersedes,
+    (CASE id WHEN 1 THEN {NOW} + 1 WHEN 2 THEN {NOW} + 4 WHEN 4 THEN {NOW} + 6 WHEN 7 THEN {NOW} + 7 ELSE {NOW} END)::DOUBLE AS updated_at, '' AS tags FROM i),
+  new AS (SELECT n + 1 AS id, 'step one of three' AS content, 'working' AS tier, '' AS namespace, true AS archived, NULL::BIGINT AS supersedes, ({NOW} + 3)::DOUBLE AS updated_at, 'state' AS tags FROM n
+    UNION ALL SELECT n + 2, 'step two of three', 'working', '', false, NULL, {NOW} + 3, 'state' FROM n UNION ALL SELECT n + 3, 'a new text instead of the seventh', 'learned', (SELECT namespace FROM i WHERE id = 7), false, 7, {NOW} + 7, 'new' FROM n
+    UNION ALL SELECT n + 4, 'Always run the tests first', 'procedural', 'rules', false, NULL, {NOW} + 8, '' FROM n)
+  SELECT id, substr(sha256(content), 1, 16) AS content_hash, tier, namespace, archived, supersedes, updated_at, tags FROM (SELECT * FROM old UNION ALL SELECT * FROM new)"""
+
+
+def conversed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of what all conversations, taken for one, say."""
+    store = Store(spark, scratch(spark, "store"), embed=None)
+    said = messages(spark, sf_dir).select((F.col("run") * 1000 + F.col("message") % 1000).cast("int").alias("message"), "content")
+    store.process_conversation(said, NOW)
+    return reads.tagged(store.memories(), "auto-extracted").select("id", "content", "tier", F.array_join("tags", ",").alias("tags"), "source")
+
+
+#: Pages and their chunks, written out: literal, as no SQL has the line machine.
+PAGES = {
+    1: ("# A title that is long enough to stay\n## One\n\nshort\n\nThis paragraph is long enough to stay.\n", ["# A title that is long enough to stay", "## One\nThis paragraph is long enough to stay."]),
+    2: ("no header at all but a paragraph that stays\n\nand a second one, which is as long as it must be", ["no header at all but a paragraph that stays", "and a second one, which is as long as it must be"]),
+    3: ("## Code\n```\nline one of some code\n\nline two of some code\n```\nafter the code, a paragraph of words", ["## Code\n```\nline one of some code\n\nline two of some code\n```", "## Code\nafter the code, a paragraph of words"]),
+    4: ("## Short\n\nno", []),
+}
+
+
 def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     q: dict[str, tuple[Callable, str | None]] = {}
     q["recall_hybrid"] = (lambda s, d: search.recall(memories(s, d), SEARCHES, NOW).drop("content"), recall_sql())
     q["bm25_search"] = (lambda s, d: search.bm25(memories(s, d), SEARCHES).select("query", "id", F.round("rank", 6).alias("rank")), f"WITH {M}, {bm25_sql(SEARCHES)} SELECT query, id, round(rank, 6) AS rank FROM ranked")
     q["ingest_dedup"] = (
-        lambda s, d: ingest.new_items(ingest.prepared(table(s, d, "documents").select(F.col("doc_id").alias("position"), F.col("text").alias("content"), F.col("lang").alias("namespace"))), memories(s, d).where("false")).select("position", "content_hash", "namespace"),
-        "SELECT doc_id AS position, substr(sha256(text), 1, 16) AS content_hash, lang AS namespace FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text), lang ORDER BY doc_id) = 1",
+        lambda s, d: ingest.new_items(ingest.prepared(table(s, d, "documents").select(F.col("doc_id").alias("position"), F.col("text").alias("content"), F.concat_ws("/", "lang", "source").alias("namespace"))), memories(s, d).where("id % 3 = 0")).select("position", "content_hash", "namespace"),
+        f"""WITH {M} SELECT doc_id AS position, substr(sha256(text), 1, 16) AS content_hash, lang || '/' || source AS namespace FROM documents d
+        WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.id % 3 = 0 AND NOT m.archived AND m.content = d.text AND m.namespace = d.lang || '/' || d.source) QUALIFY row_number() OVER (PARTITION BY sha256(text), lang, source ORDER BY doc_id) = 1""",
+    )
+    q["remember_batch"] = (
+        remembered,
+        rf"""WITH e AS (SELECT * FROM documents WHERE regexp_matches(text, '[^ \t\n\r]')), a AS (SELECT row_number() OVER (ORDER BY doc_id) AS id, text AS content, lang AS namespace, {NOW}::DOUBLE AS created_at FROM (SELECT * FROM e WHERE doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY sha256(text), lang ORDER BY doc_id) = 1)),
+        b AS (SELECT row_number() OVER (ORDER BY doc_id) + (SELECT count(*) FROM a) AS id, text AS content, lang AS namespace, ({NOW} + 1)::DOUBLE AS created_at FROM (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.content = e.text AND a.namespace = e.lang) QUALIFY row_number() OVER (PARTITION BY sha256(text), lang ORDER BY doc_id) = 1)),
+        r0 AS (SELECT * FROM a UNION ALL SELECT * FROM b), s AS ({importance_sql("r0", "'learned'")}) SELECT r0.id, substr(sha256(content), 1, 16) AS content_hash, namespace, 'learned' AS tier, created_at, importance FROM r0 JOIN s ON s.id = r0.id""",
     )
+    q["store_changes"] = (changed, CHANGED)
+    q["process_conversation"] = (
+        conversed,
+        f"""SELECT row_number() OVER (ORDER BY message, pattern, match) AS id, text AS content, tier, type || ',auto-extracted' AS tags, 'conversation' AS source FROM
+        (SELECT * FROM ({extraction_sql(MESSAGES.replace("msg AS (", "own AS (") + ", msg AS (SELECT 0 AS run, (run * 1000 + message % 1000) AS message, content FROM own)", "message, pattern, match, text, type, tier")}))""",
+    )
+    q["tagged"] = (lambda s, d: reads.tagged(memories(s, d), "en").select("id", "tier"), f"WITH {M} SELECT id, tier FROM m WHERE NOT archived AND lang = 'en'")
     q["stats"] = (
         lambda s, d: reads.stats(memories(s, d)).select("total", "archived", "latest", "avg_importance", "bytes_per_vector", F.to_json("by_tier").alias("by_tier")),
         f"""WITH {M}, t AS (SELECT tier, count(*) AS n FROM m WHERE NOT archived GROUP BY 1) SELECT count(*) FILTER (NOT archived) AS total, count(*) FILTER (archived) AS archived, max(created_at) FILTER (NOT archived) AS latest,
@@ -238,8 +312,8 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         lambda s, d: reads.export_markdown(memories(s, d)).select("id", "text"),
         f"WITH {M} SELECT id, CASE WHEN row_number() OVER (PARTITION BY tier ORDER BY created_at, id) = 1 THEN chr(10) || '## ' || upper(tier[1]) || tier[2:] || chr(10) || chr(10) ELSE '' END || '<!-- source: ' || source || ' -->' || chr(10) || content || chr(10) AS text FROM m WHERE NOT archived",
     )
-    q["entities_documents"] = (lambda s, d: reads.memory_entities(memories(s, d)).drop("position"), f"WITH {M} SELECT memory_id, type, name FROM ({entities_sql('m')})")
-    q["entities_orders"] = (lambda s, d: reads.memory_entities(orders_text(s, d)).drop("position"), f"WITH {O} SELECT memory_id, type, name FROM ({entities_sql('o')})")
+    q["entities_documents"] = (lambda s, d: reads.memory_entities(memories(s, d)).drop("position", "key"), f"WITH {M} SELECT memory_id, type, name FROM ({entities_sql('m')})")
+    q["entities_orders"] = (lambda s, d: reads.memory_entities(orders_text(s, d)).drop("position", "key"), f"WITH {O} SELECT memory_id, type, name FROM ({entities_sql('o')})")
     q["entity_counts"] = (
         lambda s, d: reads.entity_counts(reads.memory_entities(orders_text(s, d)), orders_text(s, d).withColumn("archived", F.col("id") % 11 == 0)),
         f"WITH {O} SELECT arg_min(name, memory_id * 1000 + kind * 100 + pos) AS name, type, count(DISTINCT memory_id) AS memory_count FROM ({entities_sql('o')}) WHERE memory_id % 11 <> 0 GROUP BY lower(name), type ORDER BY memory_count DESC, 1, 2 LIMIT 50",
@@ -284,6 +358,10 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
     )
     q["consolidate_lsh"] = (lambda s, d: consolidate.components(consolidate.lsh_pairs(checkpointed(hash_embedded(memories(s, d))), 0.85, 128)), None)
     q["markdown_chunks"] = (lambda s, d: memories(s, d).select("id", F.posexplode(markdown_chunks(F.concat(F.lit("## "), F.col("source"), F.lit("\n"), F.col("content")))).alias("chunk", "content")), None)
+    q["markdown_pages"] = (
+        lambda s, d: s.createDataFrame([(k, t) for k, (t, _) in PAGES.items()], "id long, content string").select("id", F.posexplode(markdown_chunks(F.col("content"))).alias("chunk", "content")),
+        "SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, {n}::INT, '{c}')" for k, (_, cs) in PAGES.items() for n, c in enumerate(cs)) + ") AS t(id, chunk, content)",
+    )
     q["store_fold"] = (
         lambda s, d: fold(log(s, d)).select("id", "archived", "updated_at", "supersedes", "access_count", "last_accessed"),
         f"""WITH {M}, a AS (SELECT user_id % (SELECT greatest(1, count(*)) FROM documents) AS id, count(*) AS n, floor(max(epoch(ts)))::DOUBLE AS last FROM events GROUP BY 1)

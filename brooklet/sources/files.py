@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions.markdown import markdown_chunks
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
-    """position, content, source: the chunks of a file, or of every *.md below a folder; files in the order of their paths. A missing path raises, as any Spark source."""
+    """path, chunk, content, source: the chunks of a file, or of every *.md below a folder. A missing path raises, as any Spark source."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source"), F.posexplode(markdown_chunks(F.col("value"))).alias("chunk", "content"))
-    return rows.select("path", "chunk", F.xxhash64("path").alias("file"), "content", "source")
+    return rows.select("path", "chunk", "content", "source")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """The chunks with their position over all files, in the order of paths: files are few against chunks, and only their paths are ordered (by ranges, in parallel)."""
+    spark = rows.sparkSession
+    paths = rows.select("path").distinct().repartitionByRange("path").sortWithinPartitions("path").withColumn("_at", F.monotonically_increasing_id())
+    paths = checkpointed(paths)
+    counts = paths.groupBy(F.shiftright("_at", 33).cast("int").alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row a partition
+    base, total = [], 0
+    for row in counts:
+        base.append((row["part"], total))
+        total += row["n"]
+    bases = spark.createDataFrame(base, "_part int, _base long")
+    numbers = paths.join(F.broadcast(bases), F.shiftright("_at", 33).cast("int") == F.col("_part")).select("path", (F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("_number"))
+    return rows.join(numbers, "path").withColumn("position", F.shiftleft("_number", 32) + F.col("chunk")).drop("_number", "path", "chunk")
 
 
 def conversation(spark: SparkSession, path: str) -> DataFrame:

@@ -56,12 +56,19 @@ def test_nothing_outside_imports_llm():
         assert "llm" not in path.read_text()
 
 
-@pytest.mark.parametrize("name", ["importance_documents", "entities_documents", "bm25_search", "hash_embed", "classify_query"])
+@pytest.mark.parametrize("name", ["bm25_search", "classify_query", "stats", "store_fold"])
 def test_hot_paths_stay_in_the_jvm(spark, small, name):
     plan = store.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan.replace("ArrowEvalPython", "Python")
 
 
+@pytest.mark.parametrize("name", ["importance_documents", "ingest_dedup"])
+def test_texts_cross_to_python_once(spark, small, name):
+    """Entities and importance are one call, whatever asks for them."""
+    plan = store.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 1
+
+
 def test_knn_takes_groups_of_k(spark, small):
     plan = store.queries()["knn"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan

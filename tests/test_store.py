@@ -1,10 +1,16 @@
 """The store's tools over a log on disk."""
 
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from brooklet.functions import embedders
+from brooklet.operators import consolidate, ingest, search
 from brooklet.plans.store import Store
-from brooklet.schema import InvalidTierError, NotFoundError, StoreError
+from brooklet.schema import EmbeddingError, InvalidTierError, NotFoundError, StoreError
 from brooklet.sources import files
 from brooklet.streaming import streams
 
@@ -123,8 +129,8 @@ def test_markdown_in_and_out(spark, store, tmp_path):
     (tmp_path / "in" / "deep" / "b.md").write_text("## Two\n\nAnother paragraph that is long enough.")
     (tmp_path / "in" / "c.txt").write_text("not markdown, whatever is in it")
     assert store.import_markdown(str(tmp_path / "in"), 1.0)["imported"] == 2 and store.import_markdown(str(tmp_path / "in"), 2.0)["deduplicated"] == 2
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        store.import_markdown(str(tmp_path / "none"), 1.0)
+    assert "not found" in store.import_markdown(str(tmp_path / "none"), 1.0)["error"]
+    assert [(r.id, r.source) for r in store.memories().orderBy("id").collect()] == [(1, "a.md"), (2, "b.md")]
     store.remember("A core fact", 3.0, "core")
     files.write_markdown(store.export_markdown(), str(tmp_path / "out"))
     text = "\n".join(p.read_text().removesuffix("\n") for p in sorted((tmp_path / "out").glob("part-*")) if p.stat().st_size)
@@ -144,41 +150,144 @@ def test_log(spark, store):
         store.dispatch("drop", {})
 
 
+def sizes(rows):
+    """An embedder of two numbers."""
+    return rows.select("id", F.array(F.length("content").cast("double"), F.lit(1.0)).alias("embedding"))
+
+
 def test_own_embedder(spark, tmp_path):
-    own = Store(spark, str(tmp_path / "log"), embed=lambda rows: rows.select("id", F.array(F.length("content").cast("double"), F.lit(1.0)).alias("embedding")))
-    own.remember_batch(items(spark, "aaaa", "bbbb"), 1.0)
-    assert own.consolidate(2.0, 0.99)["groups"] == 1
-
-
-def test_streams(spark, store, tmp_path):
-    source = str(tmp_path / "items")
-    items(spark, "first item of the stream", "second item of the stream").write.parquet(source)
-    stream = lambda: spark.readStream.schema("position long, content string").parquet(source)
-    streams.ingest_stream(store, stream(), str(tmp_path / "c1"), 1.0).awaitTermination()
-    items(spark, "first item of the stream", "third item of the stream").write.mode("append").parquet(source)
-    streams.ingest_stream(store, stream(), str(tmp_path / "c1"), 2.0).awaitTermination()
-    assert sorted(r.content.split()[0] for r in state(store).values()) == ["first", "second", "third"]
-    rows = spark.createDataFrame([("2024-01-01 10:00:00", "a", "n"), ("2024-01-01 11:00:00", "a", "n"), ("2024-01-05 00:00:00", "b", "n")], "ts string, content string, namespace string").withColumn("ts", F.to_timestamp("ts"))
-    events = str(tmp_path / "events")
-    rows.write.parquet(events)
-    for number, (view, mode) in enumerate(((lambda r: streams.deduplicated(r), "append"), (lambda r: streams.daily_counts(r, key="content"), "append"), (lambda r: streams.active_working(r), "append"))):
-        name = f"view{number}"
-        query = view(spark.readStream.schema(rows.schema).parquet(events)).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        query.awaitTermination()
-        got = spark.table(name).collect()
-        assert len(got) == (2 if number == 0 else 1) and (number == 0 or got[0].n == 2)
-
-
-def test_history_of_long_chains_and_cycles(spark):
-    """A chain of 1500 versions is walked to its ends from anywhere in it; a cycle ends."""
-    from brooklet.operators import history as versions
-
-    n = 1500
-    rows = [(k, k - 1 if k else None, f"v{k}", "t", k < n - 1) for k in range(n)] + [(5000 + k, 5000 + (k + 1) % 3, "c", "t", False) for k in range(3)]
-    memories = spark.createDataFrame(rows, "id long, supersedes long, content string, created_at string, archived boolean")
-    ids = spark.createDataFrame([(1, n - 1), (2, 0), (3, 700), (4, 5001), (5, 9999)], "query long, id long")
-    got = {}
-    for r in versions.history(memories, ids).orderBy("query", "position").collect():
-        got.setdefault(r.query, []).append(r.id)
-    assert got.pop(4) and got == {q: list(range(n - 1, -1, -1)) for q in (1, 2, 3)}
-    assert versions.chain_members(memories, ids.where("query = 4")).count() == 3
+    """It makes the stored vectors and those of the queries."""
+    own = Store(spark, str(tmp_path / "log"), embed=sizes)
+    own.remember_batch(items(spark, "aaaa", "bbbb", "c" * 400), 1.0)
+    assert own.consolidate(2.0, 0.9999)["groups"] == 1
+    hits = own.recall({0: "d" * 300}, 3.0, recency_weight=0.0).collect()
+    assert hits[0].id == 3 and own.derived("vectors").where("id = 3").first().embedding == [400.0, 1.0]
+
+
+def test_a_failing_embedder_stores_nothing(spark, tmp_path):
+    def broken(rows):
+        return rows.select("id", F.raise_error(F.lit("no model")).cast("array<float>").alias("embedding"))
+
+    store = Store(spark, str(tmp_path / "log"), embed=broken)
+    with pytest.raises(EmbeddingError, match="no model"):
+        store.remember_batch(items(spark, "some text @bob"), 1.0)
+    assert store.memories().count() == 0 and store.entities().count() == 0 and store._commits() == [-1]
+    whole = Store(spark, str(tmp_path / "log"))
+    assert whole.remember("some text @bob", 2.0)["id"] == 1 and whole.entity_counts("mention").count() == 1
+
+
+def test_null_embedder_searches_by_keywords(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "log"), embed="null")
+    done = store.remember("zebra stripes are black", 1.0)
+    assert not done["embedded"] and [r.id for r in store.recall({0: "zebra"}, 2.0).collect()] == [1] and store.recall({0: "moon"}, 2.0).count() == 0
+    with pytest.raises(EmbeddingError):
+        store.remember("another zebra", 3.0) and store.consolidate(4.0)
+
+
+def test_embedders_by_name(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    assert embedders.embedder("null") is None and embedders.embedder("hash", 64).dim == 64 and embedders.embedder("whatever").dim == 128 and isinstance(embedders.embedder("auto"), embedders.HashEmbedder)
+    with pytest.raises(EmbeddingError):
+        embedders.embedder("static")
+    library = Tokenizer(models.WordLevel({"red": 0, "fox": 1, "[UNK]": 2}, unk_token="[UNK]"))
+    library.pre_tokenizer = pre_tokenizers.Whitespace()
+    library.save(str(tmp_path / "tokenizer.json"))
+    np.save(tmp_path / "vectors.npy", np.array([[1, 0, 0], [0, 1, 0], [0, 0, 2]], np.float32))
+    lazy = embedders.embedder("static", folder=str(tmp_path))
+    assert not lazy.loaded and lazy.dim == 3 and lazy.loaded
+    rows = spark.createDataFrame([(1, "red fox"), (2, "red red"), (3, ""), (4, None)], "id long, content string")
+    got = {r.id: [round(x, 4) for x in r.embedding] for r in lazy(rows).collect()}
+    assert got == {1: [0.7071, 0.7071, 0], 2: [1, 0, 0], 3: [0, 0, 0], 4: [0, 0, 0]}
+    known = embedders.LazyEmbedder(lambda: embedders.StaticEmbedder(str(tmp_path)), 3)
+    assert known.dim == 3 and not known.loaded
+    store = Store(spark, str(tmp_path / "log"), embed=lazy)
+    store.remember_batch(items(spark, "red fox", "blue sea"), 1.0)
+    assert store.stats().first().bytes_per_vector == 12 and store.recall({0: "fox"}, 2.0).first().id == 1
+
+
+def test_stored_search_is_search_of_the_texts(spark, store, small):
+    """The index and vectors that commits keep give what is made of the texts for a call, over several commits and a base."""
+    documents = spark.read.parquet(f"{small}/documents.parquet").where("length(text) > 5")
+    chosen = documents.select(F.col("doc_id").alias("position"), F.col("text").alias("content"), "source", F.array("lang").alias("tags"))
+    for part in range(3):
+        store.remember_batch(chosen.where(F.col("position") % 3 == part), 1.0)
+    asked = {1: "general public license", 2: "the password token of onerth", 3: "ouaux", 4: ""}
+    fresh = {tuple(r) for r in search.recall(store.memories(), asked, 50.0).collect()}
+    close = lambda rows: {(r["query"], r["id"], round(r["score"], 3)) for r in rows}
+    names = ("query", "id", "content", "tier", "source", "score", "method", "importance")
+    wanted = close([dict(zip(names, r, strict=True)) for r in fresh])
+    assert len(wanted) >= 15 and close(r.asDict() for r in store.recall(asked, 50.0).collect()) == wanted
+    store.compacted()
+    assert close(r.asDict() for r in store.recall(asked, 50.0).collect()) == wanted and store.vacuum() >= 12
+    store.remember("one more about a public license", 2.0)
+    assert close(r.asDict() for r in store.recall(asked, 50.0).collect()) == close(r.asDict() for r in search.recall(store.memories(), asked, 50.0).collect())
+    plan = search.occurrences(store.derived("postings"), {1: search.phrases("license")})._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "StringStartsWith(token,license)" in plan
+
+
+def test_large_batches_keep_every_row(spark, tmp_path):
+    """200,000 rows: ids are dense and distinct, in the order of position, whatever the ranges."""
+    rows = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("position"), F.concat(F.lit("fact "), F.col("id")).alias("content"))
+    new = ingest.numbered(ingest.prepared(rows), 11, 1.0)
+    assert tuple(new.agg(F.count("id"), F.countDistinct("id"), F.min("id"), F.max("id")).first()) == (200_000, 200_000, 11, 200_010)
+    both = new.join(rows.withColumn("wanted", 11 + F.row_number().over(Window.orderBy("position")) - 1), "content")
+    assert both.where("id <> wanted").count() == 0
+    store = Store(spark, str(tmp_path / "log"), embed="null")
+    assert store.remember_batch(rows, 1.0)["imported"] == 200_000 and store.remember_batch(rows.where("position < 1000"), 2.0) == {"imported": 0, "deduplicated": rows.where("position < 1000").count(), "embedded": 0}
+    assert tuple(store.memories().agg(F.count("id"), F.countDistinct("id"), F.max("id")).first()) == (200_000, 200_000, 200_000)
+
+
+def test_equal_positions_are_numbered(spark):
+    rows = spark.range(5000).select(F.lit(3).alias("position"), F.col("id").cast("string").alias("content"))
+    got = ingest.numbered(ingest.prepared(rows), 1, 1.0).agg(F.countDistinct("id"), F.max("id")).first()
+    assert tuple(got) == (5000, 5000)
+
+
+def test_one_writer_at_a_time(spark, store, monkeypatch):
+    from brooklet.plans import store as module
+
+    other = Store(spark, store.path)
+    with store._turn():
+        monkeypatch.setattr(module, "PATIENCE", 0.5)
+        with pytest.raises(StoreError, match="another writer"):
+            other.remember("while another writes", 1.0)
+    monkeypatch.setattr(module, "PATIENCE", 120.0)
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda k: Store(spark, store.path).remember(f"text number {k}", 1.0)["id"], range(4)))
+    assert sorted(done) == [1, 2, 3, 4] and store.memories().count() == 4
+    fs, path = store._fs(f"{store.path}/_writer")
+    fs.create(path, False).close()  # of a writer that died
+    monkeypatch.setattr(module, "LEASE", -1.0)
+    assert store.remember("after a crash", 2.0)["id"] == 5
+
+
+def test_commits_are_compacted_by_themselves(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "log"), embed="null", compact_every=2)
+    for k in range(5):
+        store.remember(f"text number {k}", float(k))
+    assert len(store._commits()) <= 3 and store._commits()[0] >= 2 and store.memories().count() == 5 and store.recall({0: "text"}, 9.0).count() == 5
+
+
+@pytest.mark.parametrize("length", [150, 1000])
+def test_long_chains_and_cycles(spark, length):
+    from brooklet.operators import history
+
+    columns = "id long, supersedes long, content string, created_at double, archived boolean"
+    rows = [(k, k - 1 if k else None, f"v{k}", float(k), k < length - 1) for k in range(length)] + [(5000, 5002, "a", 1.0, False), (5001, 5000, "b", 2.0, False), (5002, 5001, "c", 3.0, False)]
+    memories = spark.createDataFrame(rows, columns)
+    got = history.history(memories, spark.createDataFrame([(0, length // 2), (1, 5001)], "query long, id long")).orderBy("query", "position").collect()
+    assert [r.id for r in got if r["query"] == 0] == list(range(length - 1, -1, -1)) and sorted(r.id for r in got if r["query"] == 1) == [5000, 5001, 5002]
+
+
+def test_lsh_finds_near_vectors(spark):
+    """Recall against all pairs on the embeddings of documents, and a band that holds thousands."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    vectors = embedders.embedder("hash")(documents).cache()
+    exact = consolidate.exact_pairs(vectors, 0.9)
+    roots = {r.id: r.root for r in consolidate.components(consolidate.lsh_pairs(vectors, 0.9, 128)).collect()}
+    pairs = exact.collect()
+    assert len(pairs) > 20 and sum(a in roots and roots[a] == roots.get(b) for a, b in pairs) >= 0.9 * len(pairs)
+    same = spark.range(3000).select("id", F.array(F.lit(1.0), F.lit(2.0), (F.col("id") / 3e5).cast("double")).alias("embedding"))
+    found = consolidate.lsh_pairs(same, 0.99, 3)
+    assert found.count() < 16 * 3000 * 8 and consolidate.components(found).select("root").distinct().count() == 1
