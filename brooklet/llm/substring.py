@@ -362,7 +362,7 @@ def pieces(documents: DataFrame, repeated: DataFrame, window: int, buckets: int)
         if held:
             yield from flush()
 
-    return keyed(documents).drop("doc_id").join(repeated, "key").transform(in_arrow, cut, PIECE)
+    return keyed(documents).join(repeated, "key").transform(in_arrow, cut, PIECE)  # the same rows by key as those that the result is joined with: one shuffle
 
 
 def covered_spans(found: DataFrame, window: int, parts: int, buckets: int) -> DataFrame:
