@@ -62,6 +62,8 @@ DERIVED = {
     "postings": ("token string, id long, dl int, column int, place int", ("token", "id", "column", "place")), "lengths": ("id long, dl int", ("id",)),
     "vectors": ("id long, embedding array<float>", ("id",)), "entities": ("key string, name string, type string, memory_id long, position int", ("key", "memory_id", "position")),
 }
+#: Rows of a batch whose derived tables are one file each.
+FEW_ROWS = 1000
 #: Seconds after which a writer's file counts as left behind, and that another writer waits for it.
 LEASE, PATIENCE = 3600.0, 120.0
 
@@ -158,25 +160,26 @@ class Store:
     def entities(self) -> DataFrame:
         return self.derived("entities")
 
-    def _write(self, kind: str, rows: DataFrame, name: str) -> None:
+    def _write(self, kind: str, rows: DataFrame, name: str, few: bool = False) -> None:
+        """A table of DERIVED, sorted over all its files; few rows go into one file without a shuffle."""
         schema, order = DERIVED[kind]
         columns = [c.split()[0] for c in schema.split(", ")]
         typed = rows.select(*(F.col(c.split()[0]).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in schema.split(", "))).select(*columns)
-        typed.repartitionByRange(*order[:2]).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        (typed.coalesce(1) if few else typed.repartitionByRange(*order[:2])).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{name}")
 
-    def commit(self, *events: DataFrame, inserted: DataFrame | None = None) -> None:
-        """Events (op, target, value, ts, memory) as one commit; Spark's committer writes the marker last. inserted: MEMORY rows whose texts are new."""
+    def commit(self, *events: DataFrame, inserted: DataFrame | None = None, few: bool = False) -> None:
+        """Events (op, target, value, ts, memory) as one commit; Spark's committer writes the marker last. inserted: MEMORY rows whose texts are new; few: FEW_ROWS at most."""
         with self._turn():
             names = self._names()
             number = max((int(n[-9:]) for n in names if n[-9:].isdigit()), default=-1) + 1  # no number is used twice, not even one of a commit that failed
             if inserted is not None:
                 index = search.indexed(inserted)
-                self._write("postings", index.postings, f"postings-{number:09d}")
-                self._write("lengths", index.lengths, f"lengths-{number:09d}")
-                self._write("entities", reads.memory_entities(inserted), f"entities-{number:09d}")
+                self._write("postings", index.postings, f"postings-{number:09d}", few)
+                self._write("lengths", index.lengths, f"lengths-{number:09d}", few)
+                self._write("entities", reads.memory_entities(inserted), f"entities-{number:09d}", few)
                 if self.embed:
                     try:
-                        self._write("vectors", self.embed(inserted.select("id", "content")), f"vectors-{number:09d}")
+                        self._write("vectors", self.embed(inserted.select("id", "content")), f"vectors-{number:09d}", few)
                     except Exception as e:
                         raise EmbeddingError(f"nothing was stored, as the embedder failed: {e}") from e
             rows = reduce(DataFrame.unionByName, events).withColumn("seq", F.lit(number).cast("long"))
@@ -238,7 +241,7 @@ class Store:
             first = (before.agg(F.max("id")).first()[0] or 0) + 1
             rows = checkpointed(ingest.numbered(new, first, now))
             gone = rows.where("supersedes is not null").select(F.col("supersedes").alias("id")).distinct()
-            self.commit(self._inserts(rows), self._marks("archive", gone, now), inserted=rows)
+            self.commit(self._inserts(rows), self._marks("archive", gone, now), inserted=rows, few=imported <= FEW_ROWS)
         return {"imported": imported, "deduplicated": total - imported, "embedded": imported if self.embed else 0}
 
     @_writing
