@@ -35,13 +35,17 @@ def new_items(items: DataFrame, memories: DataFrame) -> DataFrame:
     return once.join(memories.where("not archived").select("content_hash", "namespace"), ["content_hash", "namespace"], "left_anti")
 
 
-def numbered(items: DataFrame, first_id: int, now: float) -> DataFrame:
+def numbered(items: DataFrame, first_id: int, now: float, few: bool = False) -> DataFrame:
     """New items as MEMORY rows, ids without gaps from first_id in the order of position (and of hash, among equal ones).
 
     Ranges of position are checkpointed with the place of each row in its range, so that counting and numbering see the
-    same ranges; no task sorts more than its own.
+    same ranges; no task sorts more than its own. few: the caller knows that one task is enough.
     """
     order = ("position", "content_hash", "namespace")
+    fixed = {"created_at": F.lit(now), "updated_at": F.lit(now), "archived": F.lit(False), "access_count": F.lit(0), "last_accessed": F.lit(None)}
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in MEMORY]
+    if few:
+        return items.coalesce(1).sortWithinPartitions(*order).withColumns(fixed | {"id": F.lit(first_id) + F.monotonically_increasing_id()}).select(*columns)
     ranged = items.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = checkpointed(ranged.withColumn("_at", F.monotonically_increasing_id()))  # the partition in the upper bits, the place in the lower 33
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
@@ -52,8 +56,7 @@ def numbered(items: DataFrame, first_id: int, now: float) -> DataFrame:
         total += row["n"]
     bases = placed.sparkSession.createDataFrame(base, "_part int, _base long")
     rows = placed.withColumn("_part", part.cast("int")).join(F.broadcast(bases), "_part")
-    fixed = {"id": F.col("_base") + place, "created_at": F.lit(now), "updated_at": F.lit(now), "archived": F.lit(False), "access_count": F.lit(0), "last_accessed": F.lit(None)}
-    return rows.withColumns(fixed).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in MEMORY))
+    return rows.withColumns(fixed | {"id": F.col("_base") + place}).select(*columns)
 
 
 def conversation_items(messages: DataFrame) -> DataFrame:

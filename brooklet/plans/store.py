@@ -239,9 +239,10 @@ class Store:
         total, imported = prepared.count(), new.count()
         if imported:
             first = (before.agg(F.max("id")).first()[0] or 0) + 1
-            rows = checkpointed(ingest.numbered(new, first, now))
+            few = imported <= FEW_ROWS
+            rows = checkpointed(ingest.numbered(new, first, now, few))
             gone = rows.where("supersedes is not null").select(F.col("supersedes").alias("id")).distinct()
-            self.commit(self._inserts(rows), self._marks("archive", gone, now), inserted=rows, few=imported <= FEW_ROWS)
+            self.commit(self._inserts(rows), self._marks("archive", gone, now), inserted=rows, few=few)
         return {"imported": imported, "deduplicated": total - imported, "embedded": imported if self.embed else 0}
 
     @_writing
