@@ -323,6 +323,16 @@ def test_language_stage_acts(spark):
     assert changed >= 0.2 * d.count()
 
 
+def test_stages_of_no_rows(spark, none, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "some words of a benchmark item that nobody has")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, none, str(tmp_path))
+        assert out.columns == none.columns and out.count() == 0
+    assert corpus_pipeline.encode(spark, none, "").count() == 0
+
+
 def test_registered(spark, small):
     import __spark_entry__ as entry
 
