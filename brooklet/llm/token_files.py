@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_arrow, scratch, slices, stored, texts_as_bytes
-from .tokens import default_path, encoded
+from .tokens import default_path, encoded_sparingly
 
 MAGIC, BLOCK_IDS, PLANES, LEVEL = b"PLANES01", 1 << 16, 4, 3
 END_ID = 2
@@ -146,7 +146,7 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str | None
                 files.create_dir(top, recursive=True)
                 out = files.open_output_stream(temporary)
                 writer = Writer(out)
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded(texts_as_bytes(batch.column("text")), vocabulary), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded_sparingly(texts_as_bytes(batch.column("text")), vocabulary), strict=True):
                 writer.add(doc_id, ids + end)
                 total += len(ids) // 4 + 1
         if writer is not None:
@@ -184,7 +184,9 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     start += n
                 yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    listed = spark.createDataFrame(files, "path string, start long").repartitionByRange(len(files), "start")
+    # As an Arrow table: a list of tuples would go through Python workers of another kind, which stay beside those of mapInArrow.
+    rows = pa.table({"path": [f[0] for f in files], "start": pa.array([f[1] for f in files], pa.int64())})
+    listed = spark.createDataFrame(rows).repartitionByRange(len(files), "start")
     return listed.transform(in_arrow, read, schema)
 
 

@@ -6,6 +6,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,10 @@ from .common import caching, use_cache
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers at most. A full memory takes no more words; results stay the same.
 MEMORY_WORDS = 700_000
+#: The same for encoded_sparingly(); with more than 349,525 a dict doubles its table.
+SPARING_WORDS = 340_000
+#: Bytes of text that encoded_sparingly() has as words at once, unless a single text is longer.
+SPARING_BYTES = 1 << 20
 
 
 def default_path() -> str:
@@ -54,7 +59,9 @@ def described(path: str) -> tuple[bool, bool, bool]:
 
 
 _memory: dict[str, dict[bytes, bytes]] = {}
-caching("word ids", _memory.clear)
+#: Marks by hash of the words that encoded_sparingly() has met.
+_met: dict[str, bytearray] = {}
+caching("word ids", lambda: (_memory.clear(), _met.clear()))
 _COMBINING = (b"\xcc", b"\xcd")
 
 
@@ -91,7 +98,37 @@ def _folded(text: bytes) -> bytes:
     return text if b"<|" in text or any(x in text for x in _COMBINING) else text.lower()
 
 
-def encoded(texts: list[bytes], path: str) -> list[bytes]:
+def _remember(memory: dict[bytes, bytes], new: dict[bytes, bytes], met: bytearray | None) -> None:
+    """Without marks, all new words while there is room. With marks, all of them up to half of SPARING_WORDS and then those that come again."""
+    if met is None:
+        if len(memory) + len(new) <= MEMORY_WORDS:
+            memory.update(new)
+        return
+    mask = len(met) - 1
+    for word, ids in new.items():
+        if len(memory) >= SPARING_WORDS:
+            return
+        k = hash(word) & mask
+        if met[k] or 2 * len(memory) < SPARING_WORDS:
+            memory[word] = ids
+        met[k] = 1
+
+
+def encoded_sparingly(texts: list[bytes], path: str) -> Iterator[bytes]:
+    """encoded() for tasks that have much else in memory: fewer words are remembered, and few texts are held as words at once."""
+    if path not in _met:
+        _met[path] = bytearray(1 << 22)
+    met, at, size = _met[path], 0, 0
+    for k, text in enumerate(texts):
+        if at < k and size + len(text) > SPARING_BYTES:
+            yield from encoded(texts[at:k], path, met)
+            at, size = k, 0
+        size += len(text)
+    if texts:
+        yield from encoded(texts[at:], path, met)
+
+
+def encoded(texts: list[bytes], path: str, met: bytearray | None = None) -> list[bytes]:
     """Ids of each UTF-8 text as little-endian unsigned 32-bit integers, as the library's encode gives them without special tokens added."""
     use_cache("word ids", "chunks")
     tokenizer = loaded(path)
@@ -102,6 +139,5 @@ def encoded(texts: list[bytes], path: str) -> list[bytes]:
     words = [(_folded(t) if lower else t).split() for t in texts]
     found = [list(map(memory.get, ws)) for ws in words]
     new = _encoded_words(list({w for ws, ids in zip(words, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}), path)
-    if len(memory) + len(new) <= MEMORY_WORDS:
-        memory.update(new)
+    _remember(memory, new, met)
     return [b"".join(ids if None not in ids else [new[w] if x is None else x for w, x in zip(ws, ids, strict=True)]) for ws, ids in zip(words, found, strict=True)]

@@ -62,6 +62,36 @@ def test_words_are_encoded_as_the_library_does():
     assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_few_words_are_remembered_for_token_files(monkeypatch):
+    path, sizes, plain = tokens.default_path(), [], tokens.encoded
+    library = tokens.loaded(path)
+    texts = [f"the the, once{k} once{k}x " + "of " * 20 for k in range(300)] + ["", "x" * 5000, "", "the last"]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    tokens._memory.clear()
+    tokens._met.clear()
+    monkeypatch.setattr(tokens, "SPARING_WORDS", 100)
+    monkeypatch.setattr(tokens, "SPARING_BYTES", 2000)
+    monkeypatch.setattr(tokens, "encoded", lambda some, *a: sizes.append([len(t) for t in some]) or plain(some, *a))
+    for _ in range(2):  # in the second round, words come again
+        got = tokens.encoded_sparingly([t.encode() for t in texts], path)
+        assert [np.frombuffer(g, np.uint32).tolist() for g in got] == wanted
+        assert len(tokens._memory[path]) <= 100 and {b"the", b"of"} <= set(tokens._memory[path])
+    assert len(tokens._memory[path]) == 100
+    assert all(sum(s) <= 2000 or len(s) == 1 for s in sizes) and sum(map(len, sizes)) == 2 * len(texts)
+    assert list(tokens.encoded_sparingly([], path)) == []
+    tokens._memory.clear()
+    tokens._met.clear()
+
+
+def test_list_of_token_files_stays_in_the_jvm(spark, monkeypatch, tmp_path):
+    rows = [(k, f"w{k} of the") for k in range(40)]
+    manifest = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    made, create = [], spark.createDataFrame
+    monkeypatch.setattr(spark, "createDataFrame", lambda *a, **b: made.append(create(*a, **b)) or made[-1])
+    assert sorted(r.doc_id for r in token_files.read_token_files(spark, manifest).collect()) == list(range(40))
+    assert made and not any("PythonRDD" in x._jdf.rdd().toDebugString() for x in made)
+
+
 def test_token_files(spark, documents, none, rows, reference_ids):
     start, wanted = 0, []
     order = lambda t: np.uint64(xxhash.xxh64_intdigest(text_of(t).encode(), 42)).astype(np.int64)
