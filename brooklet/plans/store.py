@@ -45,13 +45,13 @@ def fold(events: DataFrame) -> DataFrame:
     by = lambda value, *ops: F.max_by(when(value, *ops), when(F.col("seq"), *ops))
     marks = events.where("op <> 'insert'").groupBy("target").agg(
         by(F.col("op") == "archive", "archive", "unarchive").alias("_archived"),
-        F.max(F.when(F.col("op").isin("touch", "archive", "unarchive", "link") & (F.col("ts") > 0), F.col("ts"))).alias("_updated"),
+        F.max(F.when(F.col("op").isin("touch", "archive", "unarchive", "link") & (F.col("ts") > 0), F.struct("seq", "ts"))).alias("_updated"),  # the last write counts, whatever its clock
         F.max(when(F.lit(True), "link")).alias("_linked"), by(F.col("value"), "link").alias("_link"),
         F.sum(when(F.col("value"), "access")).alias("_count"), F.max(when(F.col("ts"), "access")).alias("_access"),
     )
     inserts = events.where("op = 'insert'").select("target", *(F.col(f"memory.{f.name}").alias(f.name) for f in MEMORY))
     changed = {
-        "archived": F.coalesce("_archived", "archived"), "updated_at": F.greatest("updated_at", "_updated"), "supersedes": F.when(F.col("_linked"), F.col("_link")).otherwise(F.col("supersedes")),
+        "archived": F.coalesce("_archived", "archived"), "updated_at": F.coalesce("_updated.ts", "updated_at"), "supersedes": F.when(F.col("_linked"), F.col("_link")).otherwise(F.col("supersedes")),
         "access_count": F.col("access_count") + F.coalesce("_count", F.lit(0)), "last_accessed": F.greatest("last_accessed", "_access"),
     }
     return inserts.join(marks, "target", "left").select(*(changed.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in MEMORY))
