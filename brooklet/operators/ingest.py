@@ -67,9 +67,24 @@ def numbered(items: DataFrame, first_id: int, now: float, few: bool = False) ->
     return rows.withColumns(fixed | {"id": F.col("_base") + place}).select(*columns)
 
 
+#: Bytes of messages a task takes, and in how many tasks; larger inputs have SPREAD_MOST bytes a task. What messages say takes some twenty times their bytes while it is sorted.
+SPREAD, SPREAD_TASKS, SPREAD_MOST = 8 << 20, 200, 32 << 20
+
+
+def _spread(messages: DataFrame) -> DataFrame:
+    """Messages over tasks by their size: a small file of rows that compress well would be one task, with all that it says.
+
+    Up to SPREAD_TASKS the shuffle writes to a file a task, without keeping rows in memory.
+    """
+    size = messages.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    tasks = max(min(SPREAD_TASKS, -(-size // SPREAD)), -(-size // SPREAD_MOST))
+    return messages.repartition(tasks, "run", "message", "content") if tasks > 1 else messages
+
+
 def conversation_items(messages: DataFrame) -> DataFrame:
     """run, message, pattern, match, text, type, tier of what messages (run, message, content) say; of equal texts in a run (any case) the first."""
-    found = messages.where("content is not null and content <> ''").select("run", "message", F.explode(extractions(F.col("content"))).alias("x"))
+    some = _spread(messages.where("content is not null and content <> ''").select("run", "message", "content"))
+    found = some.select("run", "message", F.explode(extractions(F.col("content"))).alias("x"))
     rows = found.select("run", "message", "x.pattern", "x.match", "x.text", "x.type", "x.tier").where("text <> ''")
     first = Window.partitionBy("run", F.lower("text")).orderBy("message", "pattern", "match")
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
