@@ -316,7 +316,7 @@ class Store:
         if not self.embed:
             raise EmbeddingError("consolidation needs an embedder")
         vectors = checkpointed(self.derived("vectors").join(chosen.select("id"), "id", "left_semi"))
-        pairs = near.exact_pairs(vectors, threshold) if n <= exact_up_to else near.lsh_pairs(vectors, threshold, self.dim)
+        pairs = near.exact_pairs(vectors, threshold, True) if n <= exact_up_to else near.lsh_pairs(vectors, threshold, self.dim)
         rows = checkpointed(near.groups(chosen, near.components(pairs)))
         counted = rows.agg(F.countDistinct("root"), F.count_if(~F.col("kept"))).first()
         if not dry_run and counted[0]:
