@@ -9,12 +9,16 @@ from ..checkpoints import checkpointed
 from ..functions.entities import entities
 from ..functions.extraction import extractions
 from ..functions.importance import importance
-from ..functions.text import content_hash, stripped
+from ..functions.text import NS, content_hash
 from ..schema import DEFAULT_TIER, MEMORY, TIERS
 
 
-def prepared(items: DataFrame, namespace: str = "", checked: bool = True) -> DataFrame:
-    """Items (content and any of position, tier, source, tags, namespace, supersedes) with defaults, hash and importance.
+#: A column of new items, no part of MEMORY, so that reads.memory_entities needs not search again.
+ENTITIES = "_entities"
+
+
+def prepared(items: DataFrame, namespace: str = "", checked: bool = True, score: bool = True) -> DataFrame:
+    """Items (content and any of position, tier, source, tags, namespace, supersedes) with defaults, hash and importance (score: whether it's wanted yet, see scored()).
 
     checked: blank contents and unknown tiers stop the job, as they must before anything is stored; without, they are rows like others.
     """
@@ -27,12 +31,22 @@ def prepared(items: DataFrame, namespace: str = "", checked: bool = True) -> Dat
     )
     if checked:
         rows = rows.withColumn("content", _valid())
-    return rows.withColumns({"content_hash": content_hash(F.col("content")), "importance": importance(F.col("content"), F.col("tier"), F.size(entities(F.col("content"))))})
+    hashed = rows.withColumn("content_hash", content_hash(F.col("content")))
+    return hashed.withColumn("importance", _importance()) if score else hashed
+
+
+def _importance() -> Column:
+    return importance(F.col("content"), F.col("tier"), F.size(entities(F.col("content"))))
+
+
+def scored(items: DataFrame) -> DataFrame:
+    """Prepared items with importance and entities, for which Python reads each text once: so after the known ones are gone."""
+    return items.withColumns({"importance": _importance(), ENTITIES: entities(F.col("content"))})
 
 
 def _valid() -> Column:
     """The content of an item that may be stored."""
-    ok = (F.length(stripped(F.coalesce("content", F.lit("")))) > 0) & F.col("tier").isin(*TIERS)
+    ok = F.coalesce("content", F.lit("")).rlike(NS) & F.col("tier").isin(*TIERS)
     return F.when(ok, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("blank content or unknown tier: "), F.coalesce("tier", F.lit("null")))))
 
 
@@ -44,14 +58,14 @@ def new_items(items: DataFrame, memories: DataFrame) -> DataFrame:
 
 
 def numbered(items: DataFrame, first_id: int, now: float, few: bool = False) -> DataFrame:
-    """New items as MEMORY rows, ids without gaps from first_id in the order of position (and of hash, among equal ones).
+    """New items as MEMORY rows (and ENTITIES, if they have it), each partition in the order of ids, ids without gaps from first_id in the order of position (and of hash, among equal ones).
 
     Ranges of position are checkpointed with the place of each row in its range, so that counting and numbering see the
     same ranges; no task sorts more than its own. few: the caller knows that one task is enough.
     """
     order = ("position", "content_hash", "namespace")
     fixed = {"created_at": F.lit(now), "updated_at": F.lit(now), "archived": F.lit(False), "access_count": F.lit(0), "last_accessed": F.lit(None)}
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in MEMORY]
+    columns = [*(F.col(f.name).cast(f.dataType).alias(f.name) for f in MEMORY), *(c for c in items.columns if c == ENTITIES)]
     if few:
         return items.coalesce(1).sortWithinPartitions(*order).withColumns(fixed | {"id": F.lit(first_id) + F.monotonically_increasing_id()}).select(*columns)
     ranged = items.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.entities import entities as entities_of
 from ..functions.text import ascii_lower, human_size
 from ..schema import DAY, DEFAULT_IMPORTANCE, in_namespace, tier_code
+from .ingest import ENTITIES
 from .search import selected
 
 
@@ -36,8 +37,9 @@ def tagged(memories: DataFrame, tag: str) -> DataFrame:
 
 
 def memory_entities(memories: DataFrame) -> DataFrame:
-    """key (the name in lower-case ASCII letters), name, type, memory_id, position of every entity in every memory."""
-    rows = memories.select(F.col("id").alias("memory_id"), F.posexplode(entities_of(F.col("content"))).alias("position", "e"))
+    """key (the name in lower-case ASCII letters), name, type, memory_id, position of every entity in every memory; those that a column ENTITIES has aren't searched again."""
+    found = F.col(ENTITIES) if ENTITIES in memories.columns else entities_of(F.col("content"))
+    rows = memories.select(F.col("id").alias("memory_id"), F.posexplode(found).alias("position", "e"))
     return rows.select(ascii_lower(F.col("e.name")).alias("key"), "e.name", "e.type", "memory_id", "position")
 
 

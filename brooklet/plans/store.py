@@ -160,26 +160,26 @@ class Store:
     def entities(self) -> DataFrame:
         return self.derived("entities")
 
-    def _write(self, kind: str, rows: DataFrame, name: str, few: bool = False) -> None:
-        """A table of DERIVED, sorted over all its files; few rows go into one file without a shuffle."""
+    def _write(self, kind: str, rows: DataFrame, name: str, few: bool = False, placed: bool = False) -> None:
+        """A table of DERIVED, sorted over all its files; few rows go into one file, and rows whose partitions are ranges already (placed) stay there, without a shuffle."""
         schema, order = DERIVED[kind]
         columns = [c.split()[0] for c in schema.split(", ")]
         typed = rows.select(*(F.col(c.split()[0]).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in schema.split(", "))).select(*columns)
-        (typed.coalesce(1) if few else typed.repartitionByRange(*order[:2])).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        (typed.coalesce(1) if few else typed if placed else typed.repartitionByRange(*order[:2])).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     def commit(self, *events: DataFrame, inserted: DataFrame | None = None, few: bool = False) -> None:
-        """Events (op, target, value, ts, memory) as one commit; Spark's committer writes the marker last. inserted: MEMORY rows whose texts are new; few: FEW_ROWS at most."""
+        """Events (op, target, value, ts, memory) as one commit; Spark's committer writes the marker last. inserted: MEMORY rows whose texts are new, partitions as numbered() leaves them; few: FEW_ROWS at most."""
         with self._turn():
             names = self._names()
             number = max((int(n[-9:]) for n in names if n[-9:].isdigit()), default=-1) + 1  # no number is used twice, not even one of a commit that failed
             if inserted is not None:
                 index = search.indexed(inserted)
                 self._write("postings", index.postings, f"postings-{number:09d}", few)
-                self._write("lengths", index.lengths, f"lengths-{number:09d}", few)
+                self._write("lengths", index.lengths, f"lengths-{number:09d}", few, True)
                 self._write("entities", reads.memory_entities(inserted), f"entities-{number:09d}", few)
                 if self.embed:
                     try:
-                        self._write("vectors", self.embed(inserted.select("id", "content")), f"vectors-{number:09d}", few)
+                        self._write("vectors", self.embed(inserted.select("id", "content")), f"vectors-{number:09d}", few, True)
                     except Exception as e:
                         raise EmbeddingError(f"nothing was stored, as the embedder failed: {e}") from e
             rows = reduce(DataFrame.unionByName, events).withColumn("seq", F.lit(number).cast("long"))
@@ -234,8 +234,8 @@ class Store:
     def remember_batch(self, items: DataFrame, now: float, namespace: str = "") -> dict:
         """Items (content and any of position, tier, source, tags, namespace, supersedes); of equal ones in a namespace the first, if no active memory has it."""
         before = self.memories()
-        prepared = checkpointed(ingest.prepared(items, namespace))
-        new = checkpointed(ingest.new_items(prepared, before))
+        prepared = checkpointed(ingest.prepared(items, namespace, score=False))
+        new = checkpointed(ingest.scored(ingest.new_items(prepared, before)))
         total, imported = prepared.count(), new.count()
         if imported:
             first = (before.agg(F.max("id")).first()[0] or 0) + 1
